@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from keepsake.functions.text import (
     clamp_confidence, clamp_legibility, clean_list, float_or, int_or, split_list, stripped, truthy,
@@ -13,7 +14,7 @@ from keepsake.functions.text import (
 FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def brace_span(replies: pd.Series) -> pd.Series:
     """First brace-balanced span; braces inside strings do not count."""
 

@@ -43,7 +43,7 @@ def _char_class(chars) -> str:
 
 def ascii_fold(text: Column) -> Column:
     source, target, wide = ascii_folding()
-    table = F.create_map(*[F.lit(v) for pair in wide.items() for v in pair])
+    table = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{a}" for c, a in wide.items())), F.lit("\u0001"), F.lit("\u0002"))
     expanded = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
     )

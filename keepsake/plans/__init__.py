@@ -1,0 +1,6 @@
+"""Importing this package registers every query."""
+
+from keepsake.plans import catalogue_queries, entity_queries, intake_queries, record_queries  # noqa: F401
+from keepsake.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
