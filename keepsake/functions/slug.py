@@ -38,16 +38,27 @@ def ascii_folding() -> tuple[str, str, dict[str, str]]:
 
 
 def _char_class(chars) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    """Regex class of the code points, runs of neighbours written as ranges."""
+    points = sorted(map(ord, chars))
+    runs = []
+    for point in points:
+        if runs and point == runs[-1][1] + 1:
+            runs[-1][1] = point
+        else:
+            runs.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
 
 
 def ascii_fold(text: Column) -> Column:
     source, target, wide = ascii_folding()
-    table = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{a}" for c, a in wide.items())), F.lit("\u0001"), F.lit("\u0002"))
+    table = F.str_to_map(
+        F.lit("\u0001".join(f"{c}\u0002{a}" for c, a in wide.items())), F.lit("\u0001"), F.lit("\u0002"))
     expanded = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
     )
-    widened = F.when(text.rlike(_char_class(wide)), expanded).otherwise(text)
+    # The first test is cheap and settles nearly all Latin text; both must hold.
+    maybe = r"[\xbc-\xbe\x{132}-\x{10ffff}]"
+    widened = F.when(text.rlike(maybe) & text.rlike(_char_class(wide)), expanded).otherwise(text)
     folded = F.regexp_replace(F.translate(widened, source, target), r"[^\x00-\x7f]", "")
     return F.when(text.rlike(r"[^\x00-\x7f]"), folded).otherwise(text)
 

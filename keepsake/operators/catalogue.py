@@ -13,6 +13,7 @@ from keepsake.functions.search import snippet, term_hits, terms_of
 from keepsake.functions.text import nonempty, stripped
 from keepsake.operators.scale import numbered, resolve_roots
 from keepsake.schemas import UNPUBLISHABLE
+from keepsake.session import cut
 
 PAGES_PER_PART = 64
 
@@ -73,32 +74,42 @@ def drop_duplicates(records: DataFrame) -> DataFrame:
     return present_target(records, "duplicate_of", "__copy").where(~F.col("__copy")).drop("__copy")
 
 
+def roles(records: DataFrame, bucket: Column, chains: bool = True) -> DataFrame:
+    """What becomes of each record: (id, parent_id, page_no), dropped duplicates left out.
+
+    An entry has no parent and page 0. Only ids, pointers and dates are moved about here, and
+    the outcome is written down, so that texts are read just once for each use of it.
+    """
+    bones = records.select("id", "duplicate_of", "part_of", "date_value")
+    bones = cut(flatten_pointers(bones, "duplicate_of") if chains else bones)
+    kept = drop_duplicates(bones)
+    if chains:
+        kept = flatten_pointers(cut(kept), "part_of")
+    marked = cut(present_target(kept, "part_of", "is_page"))
+    entries = marked.where(~F.col("is_page")).select(
+        "id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("page_no"))
+    children = marked.where("is_page").withColumn("parent_id", F.col("part_of"))
+    pages = numbered(children, ["parent_id"], chronological(), bucket, "page_no")
+    return cut(entries.unionByName(pages.select("id", "parent_id", "page_no")))
+
+
 def fold(records: DataFrame, bucket: Column, chains: bool = True) -> Folded:
     """Duplicates drop first, then pages fold into present parents; orphans stay entries.
 
     ``bucket`` follows (date, id) order and cuts up parents with very many
     pages. Set ``chains`` to False only where pointers are known to be one step long.
     """
-    if chains:
-        records = flatten_pointers(records, "duplicate_of")
-    kept = drop_duplicates(records)
-    if chains:
-        kept = flatten_pointers(kept, "part_of")
-    marked = present_target(kept, "part_of", "is_page")
-    entries = marked.where(~F.col("is_page")).drop("is_page")
-    children = marked.where("is_page")
-    pages = numbered(children.withColumn("parent_id", F.col("part_of")), ["parent_id"], chronological(),
-                     bucket, "page_no")
-    texts = entries.select("id", F.lit(0).cast("long").alias("page_no"), "text").unionByName(
-        pages.select(F.col("parent_id").alias("id"), "page_no", "text"))
+    placed = records.join(roles(records, bucket, chains), "id")
+    own = F.col("parent_id").isNull()
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
     bodies = F.filter(F.transform(ordered, lambda s: s.text), lambda t: t != "")
     parts = (
-        texts.withColumn("part", F.floor(F.col("page_no") / PAGES_PER_PART))
+        placed.select(F.coalesce("parent_id", "id").alias("id"), "page_no", "text",
+                      F.floor(F.col("page_no") / PAGES_PER_PART).alias("part"))
         .groupBy("id", "part").agg(stripped(F.array_join(bodies, "\n\n")).alias("body"),
                                    F.count_if(F.col("page_no") > 0).alias("pages_in_part"))
     )
-    return Folded(entries, pages, parts)
+    return Folded(placed.where(own).drop("parent_id", "page_no"), placed.where(~own), parts)
 
 
 def related(entries: DataFrame, links: DataFrame) -> DataFrame:

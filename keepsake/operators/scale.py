@@ -23,7 +23,8 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket
     """1-based row number within the keys (which must not be null).
 
     ``bucket`` must never decrease along ``order``, and should be fine enough to bound
-    the rows of one bucket, for instance ``id div 100000`` for an order by id.
+    the rows of one bucket, for instance ``id div 100000`` for an order by id. The input is read
+    twice (sizes and rows), so cut it first where it is costly to make.
     """
     tagged = df.withColumn(BUCKET, bucket)
     sizes = tagged.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))

@@ -26,9 +26,10 @@ def undecided(status: Column) -> Column:
     return ~status.isin(*DECIDED)
 
 
-def in_view(view: str, status: Column = F.col("status"), flagged: Column = F.col("needs_human_review")) -> Column:
+def in_view(view: str) -> Column:
     """Review views: all, pending (undecided) or flagged (undecided and flagged)."""
-    return {"all": F.lit(True), "pending": undecided(status), "flagged": undecided(status) & flagged}[view]
+    open_ = undecided(F.col("status"))
+    return {"all": F.lit(True), "pending": open_, "flagged": open_ & F.col("needs_human_review")}[view]
 
 
 def visible_photos(photos: DataFrame, items: DataFrame, view: str) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from keepsake.functions.text import stripped
 from keepsake.operators.catalogue import with_dates
 from keepsake.operators.entities import with_slug
-from keepsake.operators.ledger import exact_duplicates
-from keepsake.sources.tables import table
+from keepsake.operators.ledger import content_hash, exact_duplicates
+from keepsake.session import cut
+from keepsake.sources.tables import spread, table
 
 NAME_WORD = r"\p{Lu}\p{Ll}{7,}"
 
@@ -23,6 +24,10 @@ def ten_digits(number: Column) -> Column:
     return F.lpad(number.cast("string"), 10, "0")
 
 
+def first_line(text: str) -> Column:
+    return F.substring(stripped(F.split_part(text, F.lit("\n"), F.lit(1))), 1, 300)
+
+
 def pick(column: Column, options: dict[str, str], otherwise: str) -> Column:
     out = F.lit(otherwise)
     for key, value in options.items():
@@ -33,9 +38,12 @@ def pick(column: Column, options: dict[str, str], otherwise: str) -> Column:
 class Views:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def t(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        if name not in self._tables:
+            self._tables[name] = table(self.spark, self.folder, name)
+        return self._tables[name]
 
     # ---- texts ---------------------------------------------------------
 
@@ -56,7 +64,7 @@ class Views:
         rows = d.join(lab, "doc_id", "left").join(orders, "doc_id", "left").select(
             ten_digits(c("doc_id")).alias("id"), "doc_id", "text", "lang", "source", "n_chars",
             pick(c("lang"), {"en": "newspaper_clipping", "fr": "photograph", "de": "letter"}, "document").alias("type"),
-            F.substring(stripped(F.split_part("text", F.lit("\n"), F.lit(1))), 1, 300).alias("title"),
+            first_line("text").alias("title"),
             F.when(c("toxic") == 1, "rejected").when(c("quality") == 1, "approved")
             .when(c("n_chars") < 100, "rectified").otherwise("analyzed").alias("status"),
             F.coalesce((c("quality") == 0) | (c("toxic") == 1), F.lit(False)).alias("flagged"),
@@ -70,15 +78,23 @@ class Views:
 
     @cached_property
     def hashed(self) -> DataFrame:
-        return self.records.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))
+        """(id, hash, title, lang): the little of each text that finding copies needs, written down."""
+        rows = spread(self.t("documents")).select(
+            ten_digits(F.col("doc_id")).alias("id"), content_hash(F.col("text")).alias("hash"),
+            first_line("text").alias("title"), "lang")
+        return cut(rows)
 
     @cached_property
-    def pointed(self) -> DataFrame:
-        """records with duplicate_of (first copy of the text) and part_of (first text of the title)."""
+    def pointers(self) -> DataFrame:
+        """duplicate_of (first copy of the text) and part_of (first text under the same title)."""
         rows = exact_duplicates(self.hashed, "id", "hash")
-        heads = rows.groupBy("title", "lang").agg(F.min("id").alias("__head"))
-        return rows.join(heads, ["title", "lang"]).withColumn(
-            "part_of", F.when(F.col("__head") != F.col("id"), F.col("__head"))).drop("__head", "hash")
+        heads = self.hashed.groupBy("title", "lang").agg(F.min("id").alias("__head"))
+        return rows.join(heads, ["title", "lang"]).select("id", "duplicate_of", F.when(
+            F.col("__head") != F.col("id"), F.col("__head")).alias("part_of"))
+
+    @cached_property
+    def pointed(self) -> DataFrame:
+        return self.records.join(self.pointers, "id")
 
     @cached_property
     def published(self) -> DataFrame:
@@ -87,7 +103,7 @@ class Views:
     @cached_property
     def mentions(self) -> DataFrame:
         d = self.t("documents")
-        words = d.select(ten_digits(F.col("doc_id")).alias("item_id"), F.col("doc_id").alias("arrival"),
+        words = spread(d).select(ten_digits(F.col("doc_id")).alias("item_id"), F.col("doc_id").alias("arrival"),
                          F.posexplode(F.regexp_extract_all("text", F.lit(NAME_WORD), F.lit(0))).alias("pos", "name"))
         people = words.select("item_id", "arrival", F.lit("person").alias("kind"), "name", F.col("pos").cast("long"))
 
@@ -103,7 +119,8 @@ class Views:
 
     @cached_property
     def slugged(self) -> DataFrame:
-        return with_slug(self.mentions)
+        # Written down: links and names both come from it, and the texts are gone through once.
+        return cut(with_slug(self.mentions))
 
     # ---- photos, items and boxes ----------------------------------------
 

@@ -14,6 +14,7 @@ from keepsake.operators.scale import numbered, resolve_roots
 from keepsake.plans.bindings import DERIVATIVES, FOLDED, MENTIONS, RECORDS, TURNS, Views
 from keepsake.plans.entity_queries import LINKS, item_links, thousand
 from keepsake.plans.registry import query
+from keepsake.session import cut
 
 SEARCH = "license released"
 PRESENT = """,
@@ -67,7 +68,8 @@ def approved_items(v: Views) -> DataFrame:
 @query("chronological_positions", f"""WITH {RECORDS} SELECT id, row_number() OVER (ORDER BY COALESCE(NULLIF(date_value, ''), '9999'), id)
  AS position FROM records""")
 def chronological_positions(v: Views) -> DataFrame:
-    return numbered(v.records, [], C.chronological(), date_bucket(), "position").select("id", "position")
+    rows = v.records.select("id", "date_value")
+    return numbered(rows, [], C.chronological(), date_bucket(), "position").select("id", "position")
 
 
 @query("folded_entries", f"WITH {FOLDED} SELECT id, title FROM entries")
@@ -114,7 +116,8 @@ def chain_roots(v: Views) -> DataFrame:
  row_number() OVER (PARTITION BY s.item_id ORDER BY t.date_display, t.title, t.id) AS position
  FROM sym s JOIN entries e ON e.id = s.item_id JOIN entries t ON t.id = s.related_item_id""")
 def related_entries(v: Views) -> DataFrame:
-    return C.ordered_related(C.related(folded(v).entries, K.symmetric(item_links(v))))
+    # Numbering reads its input twice, so the joined edges are written first.
+    return C.ordered_related(cut(C.related(folded(v).entries, K.symmetric(item_links(v)))))
 
 
 @query("timeline", f"""WITH {FOLDED}, d AS (SELECT COALESCE(NULLIF(decade, ''), 'Undated') AS decade, COALESCE(NULLIF(year, ''), 'Undated') AS year
@@ -127,7 +130,8 @@ def timeline(v: Views) -> DataFrame:
  row_number() OVER (PARTITION BY COALESCE(NULLIF(decade, ''), 'Undated') ORDER BY COALESCE(NULLIF(date_value, ''), '9999'), id) AS position
  FROM entries""")
 def timeline_items(v: Views) -> DataFrame:
-    rows = folded(v).entries.withColumn("decade", F.coalesce(F.nullif("decade", F.lit("")), F.lit("Undated")))
+    rows = cut(folded(v).entries.select(
+        "id", "date_value", F.coalesce(F.nullif("decade", F.lit("")), F.lit("Undated")).alias("decade")))
     return numbered(rows, ["decade"], C.chronological(), date_bucket(), "position").select("decade", "id", "position")
 
 

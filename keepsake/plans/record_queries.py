@@ -11,9 +11,10 @@ from keepsake.functions.slug import slugify
 from keepsake.operators import inference as I
 from keepsake.operators import versions as V
 from keepsake.operators.normalise import decide_review, normalise
-from keepsake.plans.bindings import RECORDS, SLUG_MACRO, VERSIONS, Views
+from keepsake.plans.bindings import RECORDS, SLUG_MACRO, VERSIONS, Views, first_line, ten_digits
 from keepsake.plans.registry import query
 from keepsake.session import cut
+from keepsake.sources.tables import spread
 
 CLEAN = RECORDS + r""",
 clean AS (SELECT *, CASE lang WHEN 'en' THEN 'newspaper_clipping' WHEN 'fr' THEN 'photograph' WHEN 'de' THEN 'other'
@@ -80,7 +81,8 @@ def review_decisions(v: Views) -> DataFrame:
 @query("title_slugs", f"WITH {RECORDS}, s AS (SELECT id, title, {SLUG_MACRO.format('title')} AS slug FROM records) "
        r"SELECT id, CASE WHEN slug <> '' THEN slug ELSE regexp_replace(lower(title), '\s+', '-', 'g') END AS slug FROM s")
 def title_slugs(v: Views) -> DataFrame:
-    return v.records.select("id", slugify(F.col("title")).alias("slug"))
+    return spread(v.t("documents")).select(ten_digits(F.col("doc_id")).alias("id"), first_line("text").alias("title")).select(
+        "id", slugify(F.col("title")).alias("slug"))
 
 
 @query("date_labels", f"""WITH {RECORDS} SELECT id, decade, year, date_display,
