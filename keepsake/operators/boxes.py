@@ -164,7 +164,7 @@ def reading_order(boxes: DataFrame, out: str = "position") -> DataFrame:
         "__row", F.rint((F.col("y0") + F.col("y1")) / 2 / tolerance)).withColumn(
         "__cx", (F.col("x0") + F.col("x1")) / 2)
     order = [F.col("__row"), F.col("__cx"), F.col("seq")]
-    ranked = numbered(placed, ["photo"], order, F.struct("__row", F.floor(F.col("__cx") / 16)), out)
+    ranked = numbered(placed, ["photo"], order, [F.col("__row"), F.floor(F.col("__cx") / 16)], out)
     return ranked.drop("__mid", "__row", "__cx")
 
 

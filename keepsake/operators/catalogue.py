@@ -74,7 +74,7 @@ def drop_duplicates(records: DataFrame) -> DataFrame:
     return present_target(records, "duplicate_of", "__copy").where(~F.col("__copy")).drop("__copy")
 
 
-def roles(records: DataFrame, bucket: Column, chains: bool = True) -> DataFrame:
+def roles(records: DataFrame, buckets: Sequence[Column], chains: bool = True) -> DataFrame:
     """What becomes of each record: (id, parent_id, page_no), dropped duplicates left out.
 
     An entry has no parent and page 0. Only ids, pointers and dates are moved about here, and
@@ -89,17 +89,17 @@ def roles(records: DataFrame, bucket: Column, chains: bool = True) -> DataFrame:
     entries = marked.where(~F.col("is_page")).select(
         "id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("page_no"))
     children = marked.where("is_page").withColumn("parent_id", F.col("part_of"))
-    pages = numbered(children, ["parent_id"], chronological(), bucket, "page_no")
+    pages = numbered(children, ["parent_id"], chronological(), buckets, "page_no")
     return cut(entries.unionByName(pages.select("id", "parent_id", "page_no")))
 
 
-def fold(records: DataFrame, bucket: Column, chains: bool = True) -> Folded:
+def fold(records: DataFrame, buckets: Sequence[Column], chains: bool = True) -> Folded:
     """Duplicates drop first, then pages fold into present parents; orphans stay entries.
 
-    ``bucket`` follows (date, id) order and cuts up parents with very many
+    ``buckets`` follow (date, id) order and cut up parents with very many
     pages. Set ``chains`` to False only where pointers are known to be one step long.
     """
-    placed = records.join(roles(records, bucket, chains), "id")
+    placed = records.join(roles(records, buckets, chains), "id")
     own = F.col("parent_id").isNull()
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
     bodies = F.filter(F.transform(ordered, lambda s: s.text), lambda t: t != "")
@@ -127,7 +127,8 @@ def related(entries: DataFrame, links: DataFrame) -> DataFrame:
 def ordered_related(edges: DataFrame) -> DataFrame:
     """Number each item's links by display text and then title, as shown to readers."""
     order = [F.col("date_display"), F.col("title"), F.col("related_item_id")]
-    return numbered(edges, ["item_id"], order, F.struct("date_display", F.substring("title", 1, 3)), "position")
+    buckets = [F.col("date_display"), F.substring("title", 1, 3), F.col("title"), F.substring("related_item_id", 1, 7)]
+    return numbered(edges, ["item_id"], order, buckets, "position")
 
 
 def timeline(records: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ display name is joined on where it is shown.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +66,9 @@ def index_order() -> list[Column]:
     return [F.col("n_items").desc(), F.lower("name"), F.col("slug")]
 
 
-def index_pages(links: DataFrame, bucket: Column, page_size: int = 500) -> DataFrame:
+def index_pages(links: DataFrame, buckets: Sequence[Column], page_size: int = 500) -> DataFrame:
     """The inverted index in pages: (kind, slug, page, item ids), bounded and complete."""
-    placed = numbered(links, ["kind", "slug"], [F.col("item_id")], bucket, "__rn")
+    placed = numbered(links, ["kind", "slug"], [F.col("item_id")], buckets, "__rn")
     return (
         placed.withColumn("page", F.floor((F.col("__rn") - 1) / page_size))
         .groupBy("kind", "slug", "page").agg(F.array_sort(F.collect_list("item_id")).alias("items"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,14 +90,14 @@ def backlog(inbox: DataFrame, ledger: DataFrame, folder: str, content: str,
     )
 
 
-def landing_names(uploads: DataFrame, raw: str, arrival: str, bucket: Column) -> DataFrame:
+def landing_names(uploads: DataFrame, raw: str, arrival: str, buckets: Sequence[Column]) -> DataFrame:
     """Safe names for uploads; the n-th file of one name lands as ``stem-n.ext``.
 
     Refused names come back with a null landing name. Where a numbered name equals one that
     was uploaded under that very name, the numbered copy takes its number a second time.
     """
     named = uploads.withColumn("safe", safe_name(F.col(raw)))
-    counted = numbered(named.where("safe is not null"), ["safe"], [F.col(arrival)], bucket, "copy_no")
+    counted = numbered(named.where("safe is not null"), ["safe"], [F.col(arrival)], buckets, "copy_no")
     ending = F.regexp_extract("safe", r"(\.[^.]+)$", 1)
     first = stem(F.col("safe"))
     numbered_name = F.concat(first, F.lit("-"), F.col("copy_no"), ending)

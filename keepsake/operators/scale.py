@@ -15,44 +15,73 @@ from pyspark.sql import functions as F
 
 from keepsake.session import cut
 
-BUCKET = "__bucket"
 
+def _tagged(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    names = [f"__b{i}" for i in range(len(buckets))]
+    return df.withColumns(dict(zip(names, buckets))), names
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: Sequence[Column],
              out: str = "rn") -> DataFrame:
-    """1-based row number within the keys (which must not be null).
+    """1-based row number within the keys (keys and buckets must not be null).
 
-    ``bucket`` must never decrease along ``order``, and should be fine enough to bound
-    the rows of one bucket, for instance ``id div 100000`` for an order by id. The input is read
-    twice (sizes and rows), so cut it first where it is costly to make.
+    ``buckets`` go from coarse to fine, for instance a day and then ``id div 100000``. Along
+    ``order`` they must never decrease, compared one after the other. Each level should
+    have a moderate number of values within the level above, and the finest should bound the rows it
+    holds. The input is read twice (sizes and rows), so cut it first where it is costly to make.
     """
-    tagged = df.withColumn(BUCKET, bucket)
-    sizes = tagged.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    local = tagged.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order)))
+    tagged, names = _tagged(df, buckets)
+    sizes = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n"))
+    starts, total = sizes.select(*keys, *names, "__n"), F.lit(0)
+    for level, name in enumerate(names):
+        above = [*keys, *names[:level]]
+        before = Window.partitionBy(*above).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__s{level}")
+        if level == len(names) - 1:
+            starts = starts.select("*", start)
+        else:
+            upper = sizes.groupBy(*above, name).agg(F.sum("__n").alias("__n"))
+            starts = starts.join(upper.select(*above, name, start), [*above, name])
+        total = total + F.col(f"__s{level}")
+    starts = starts.select(*keys, *names, total.alias("__start"))
+    local = tagged.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)))
     return (
-        local.join(starts, [*keys, BUCKET])
+        local.join(starts, [*keys, *names])
         .withColumn(out, (F.col("__rn") + F.col("__start")).cast("long"))
         .select(*[c for c in df.columns if c != out], out)
     )
 
 
-def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+def _edges(ends: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Per bucket, the last value of the bucket before it and the first of the one after it."""
+    above, name = [*keys, *names[:-1]], names[-1]
+    inside = Window.partitionBy(*above).orderBy(name)
+    near = ends.select(*above, name, F.lag("__last").over(inside).alias("__before"),
+                       F.lead("__first").over(inside).alias("__after"))
+    if len(names) == 1:
+        return near
+    upper = ends.groupBy(*above).agg(F.min_by("__first", name).alias("__first"), F.max_by("__last", name).alias("__last"))
+    outer = _edges(upper, keys, names[:-1]).withColumnsRenamed({"__before": "__b", "__after": "__a"})
+    return near.join(outer, above).select(
+        *above, name, F.coalesce("__before", "__b").alias("__before"), F.coalesce("__after", "__a").alias("__after"))
+
+
+def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: Sequence[Column],
                     value: Column, before: str | None = None, after: str | None = None) -> DataFrame:
-    """The value of the previous and next row within the keys, by ascending order columns."""
-    tagged = df.withColumn(BUCKET, bucket).withColumn("__v", F.struct(value.alias("v")))
+    """The value of the previous and next row within the keys, by ascending order columns.
+
+    ``buckets`` as in ``numbered``.
+    """
+    tagged, names = _tagged(df, buckets)
+    tagged = tagged.withColumn("__v", F.struct(value.alias("v")))
     rank = F.struct(*order)
-    ends = tagged.groupBy(*keys, BUCKET).agg(
+    ends = tagged.groupBy(*keys, *names).agg(
         F.min_by("__v", rank).alias("__first"), F.max_by("__v", rank).alias("__last"))
-    across = Window.partitionBy(*keys).orderBy(BUCKET)
-    ends = ends.select(*keys, BUCKET, F.lag("__last").over(across).alias("__before"),
-                       F.lead("__first").over(across).alias("__after"))
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    inside = Window.partitionBy(*keys, *names).orderBy(*order)
     near = (
         tagged.withColumn("__lag", F.lag("__v").over(inside))
         .withColumn("__lead", F.lead("__v").over(inside))
-        .join(ends, [*keys, BUCKET])
+        .join(_edges(ends, keys, names), [*keys, *names])
     )
     added = []
     if before:

@@ -67,11 +67,11 @@ def revise(live: DataFrame, edits: DataFrame, fields: Sequence[str] = EDITABLE_F
     return joined.select(*[fixed.get(c, merged.get(c, F.col(c))) for c in live.columns])
 
 
-def history(versions: DataFrame, fields: Sequence[str], bucket: Column,
+def history(versions: DataFrame, fields: Sequence[str], buckets: Sequence[Column],
             item: str = "item_id", version: str = "id") -> DataFrame:
     """Each version with the names of the fields that differ from the one before it."""
     packed = F.struct(*fields)
-    seen = with_neighbours(versions, [item], [version], bucket, packed, before="__before")
+    seen = with_neighbours(versions, [item], [version], buckets, packed, before="__before")
     changed = F.filter(F.array(*[
         F.when(F.col("__before").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"__before.{f}")), f) for f in fields
     ]), lambda f: f.isNotNull())

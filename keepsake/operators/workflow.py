@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,24 +172,25 @@ def progress(items: DataFrame, view: str) -> DataFrame:
         F.count_if(in_view(view)).alias("shown"))
 
 
-def next_in_queue(items: DataFrame, bucket: Column, order: str = "id") -> DataFrame:
+def next_in_queue(items: DataFrame, buckets: Sequence[Column], order: str = "id") -> DataFrame:
     """After each visible item: the one that follows, else the one before."""
-    near = with_neighbours(items, [], [order], bucket, F.col(order), "__prev", "__next")
+    near = with_neighbours(items, [], [order], buckets, F.col(order), "__prev", "__next")
     return near.withColumn("next_id", F.coalesce("__next", "__prev")).drop("__prev", "__next")
 
 
-def with_item_ids(fresh: DataFrame, existing: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
+def with_item_ids(fresh: DataFrame, existing: DataFrame, order: list[Column],
+                  buckets: Sequence[Column]) -> DataFrame:
     """Continue each photo's sequence and derive ``<first 12 of hash>-<nn>`` ids."""
     last = existing.groupBy("photo_sha256").agg(F.max("seq").alias("__last"))
-    placed = numbered(fresh, ["photo_sha256"], order, bucket, "__rn").join(last, "photo_sha256", "left")
+    placed = numbered(fresh, ["photo_sha256"], order, buckets, "__rn").join(last, "photo_sha256", "left")
     seq = (F.col("__rn") + F.coalesce("__last", F.lit(-1))).cast("long")
     return placed.withColumn("seq", seq).withColumn(
         "id", F.format_string("%s-%02d", F.substring("photo_sha256", 1, 12), F.col("seq"))).drop("__rn", "__last")
 
 
-def photo_pages(photos: DataFrame, items: DataFrame, bucket: Column, page_size: int = 200) -> DataFrame:
+def photo_pages(photos: DataFrame, items: DataFrame, buckets: Sequence[Column], page_size: int = 200) -> DataFrame:
     """Photos with their items nested, in pages of bounded size. Photos without items keep one page."""
-    placed = numbered(items, ["photo_sha256"], [F.col("seq")], bucket, "__rn").withColumn(
+    placed = numbered(items, ["photo_sha256"], [F.col("seq")], buckets, "__rn").withColumn(
         "page", F.floor((F.col("__rn") - 1) / page_size))
     body = F.struct("seq", *[c for c in items.columns if c not in ("seq", "photo_sha256")])
     nested = placed.groupBy("photo_sha256", "page").agg(F.array_sort(F.collect_list(body)).alias("items"))

@@ -24,6 +24,21 @@ def ten_digits(number: Column) -> Column:
     return F.lpad(number.cast("string"), 10, "0")
 
 
+def by_digits(column: str) -> list[Column]:
+    """Buckets of ten-digit ids: ten thousand groups, then a thousand groups of a thousand ids each."""
+    return [F.substring(column, 1, 4), F.substring(column, 5, 3)]
+
+
+def by_hex(column: str) -> list[Column]:
+    """Buckets of hash-like ids: their first and second three hex digits."""
+    return [F.substring(column, 1, 3), F.substring(column, 4, 3)]
+
+
+def by_range(column: str, width: int = 100_000) -> list[Column]:
+    """Buckets of whole numbers: ranges of a thousand widths, then of one width."""
+    return [F.floor(F.col(column) / (1000 * width)), F.floor(F.col(column) / width)]
+
+
 def first_line(text: str) -> Column:
     return F.substring(stripped(F.split_part(text, F.lit("\n"), F.lit(1))), 1, 300)
 

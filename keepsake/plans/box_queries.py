@@ -9,7 +9,7 @@ from keepsake.functions import geometry as G
 from keepsake.operators import boxes as B
 from keepsake.operators import regions as R
 from keepsake.operators.workflow import with_item_ids
-from keepsake.plans.bindings import BOXES, ITEMS, LINES, Views, pick
+from keepsake.plans.bindings import BOXES, ITEMS, LINES, Views, by_range, pick
 from keepsake.plans.registry import query
 from keepsake.session import cut
 
@@ -218,7 +218,7 @@ def item_ids(v: Views) -> DataFrame:
                               (F.col("l_linenumber") - 1).cast("long").alias("line"), "partkey", "linestatus"))
     existing = rows.where("linestatus = 'F'").select("photo_sha256", F.col("line").alias("seq"))
     fresh = rows.where("linestatus = 'O'")
-    return with_item_ids(fresh, existing, [F.col("partkey"), F.col("line")], F.floor(F.col("partkey") / 1000)).select(
+    return with_item_ids(fresh, existing, [F.col("partkey"), F.col("line")], by_range("partkey", 1000)).select(
         "partkey", "seq", "id")
 
 

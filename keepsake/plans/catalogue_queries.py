@@ -11,8 +11,8 @@ from keepsake.operators import catalogue as C
 from keepsake.operators import entities as E
 from keepsake.operators import links as K
 from keepsake.operators.scale import numbered, resolve_roots
-from keepsake.plans.bindings import DERIVATIVES, FOLDED, MENTIONS, RECORDS, TURNS, Views
-from keepsake.plans.entity_queries import LINKS, item_links, thousand
+from keepsake.plans.bindings import DERIVATIVES, FOLDED, MENTIONS, RECORDS, TURNS, Views, by_digits
+from keepsake.plans.entity_queries import LINKS, item_links
 from keepsake.plans.registry import query
 from keepsake.session import cut
 
@@ -21,14 +21,14 @@ PRESENT = """,
 shown AS (SELECT * FROM links WHERE item_id IN (SELECT id FROM entries))"""
 
 
-def date_bucket() -> Column:
-    """Follows (date, id) order, a thousand ids to a bucket."""
-    return F.struct(C.date_key(F.col("date_value")).alias("d"), thousand("id").alias("i"))
+def date_buckets() -> list[Column]:
+    """Follow (date, id) order, down to a thousand ids."""
+    return [C.date_key(F.col("date_value")), *by_digits("id")]
 
 
 def folded(v: Views) -> C.Folded:
     # Both pointers lead to the first of a group, so no chain is longer than one step.
-    return C.fold(v.published, date_bucket(), chains=False)
+    return C.fold(v.published, date_buckets(), chains=False)
 
 
 def entry_links(v: Views) -> DataFrame:
@@ -69,7 +69,7 @@ def approved_items(v: Views) -> DataFrame:
  AS position FROM records""")
 def chronological_positions(v: Views) -> DataFrame:
     rows = v.records.select("id", "date_value")
-    return numbered(rows, [], C.chronological(), date_bucket(), "position").select("id", "position")
+    return numbered(rows, [], C.chronological(), date_buckets(), "position").select("id", "position")
 
 
 @query("folded_entries", f"WITH {FOLDED} SELECT id, title FROM entries")
@@ -99,8 +99,7 @@ def duplicates_dropped(v: Views) -> DataFrame:
   regexp_replace(COALESCE(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (text <> ''), ''), '^\\s+|\\s+$', '', 'g') AS body
  FROM texts GROUP BY ALL""")
 def conversation_entries(v: Views) -> DataFrame:
-    bucket = F.struct(F.lit("9999").alias("d"), F.substring("id", 1, 8).alias("i"))
-    return C.fold(v.turns, bucket, chains=False).parts
+    return C.fold(v.turns, [F.substring("id", 1, 8), F.substring("id", 10, 1)], chains=False).parts
 
 
 @query("chain_roots", """WITH RECURSIVE t AS (SELECT conv_id, turn FROM conversations),
@@ -132,7 +131,7 @@ def timeline(v: Views) -> DataFrame:
 def timeline_items(v: Views) -> DataFrame:
     rows = cut(folded(v).entries.select(
         "id", "date_value", F.coalesce(F.nullif("decade", F.lit("")), F.lit("Undated")).alias("decade")))
-    return numbered(rows, ["decade"], C.chronological(), date_bucket(), "position").select("decade", "id", "position")
+    return numbered(rows, ["decade"], C.chronological(), date_buckets(), "position").select("decade", "id", "position")
 
 
 @query("catalogue_counts", f"""WITH {FOLDED}, {MENTIONS} {PRESENT}, k AS (SELECT DISTINCT kind, slug FROM shown)

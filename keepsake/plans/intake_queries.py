@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.files import media_type, safe_name
 from keepsake.operators import ledger as L
-from keepsake.plans.bindings import PHOTOS, RECORDS, Views, pick
+from keepsake.plans.bindings import PHOTOS, RECORDS, Views, by_range, pick
 from keepsake.plans.registry import query
 from keepsake.sources.files import captured_at, is_photo, kept_tags
 
@@ -103,7 +103,7 @@ def inbox_backlog_by_language(v: Views) -> DataFrame:
  SELECT arrival, raw, CASE WHEN safe IS NULL THEN NULL WHEN k = 1 THEN safe
   ELSE regexp_replace(safe, '\\.[^.]+$', '') || '-' || k || regexp_extract(safe, '(\\.[^.]+)$', 1) END AS landing_name FROM n""")
 def landing_names(v: Views) -> DataFrame:
-    return L.landing_names(uploads(v), "raw", "arrival", F.floor(F.col("arrival") / 100000))
+    return L.landing_names(uploads(v), "raw", "arrival", by_range("arrival"))
 
 
 @query("media_types", f"""WITH {UPLOADS} SELECT arrival, CASE lower(regexp_extract(raw, '[^./](\\.[^./]+)$', 1))

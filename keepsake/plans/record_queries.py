@@ -11,7 +11,7 @@ from keepsake.functions.slug import slugify
 from keepsake.operators import inference as I
 from keepsake.operators import versions as V
 from keepsake.operators.normalise import decide_review, normalise
-from keepsake.plans.bindings import RECORDS, SLUG_MACRO, VERSIONS, Views, first_line, ten_digits
+from keepsake.plans.bindings import RECORDS, SLUG_MACRO, VERSIONS, Views, by_range, first_line, ten_digits
 from keepsake.plans.registry import query
 from keepsake.session import cut
 from keepsake.sources.tables import spread
@@ -159,7 +159,7 @@ def editable_guard(v: Views) -> DataFrame:
   CASE WHEN item_type <> t THEN 'item_type' END, CASE WHEN title <> ti THEN 'title' END], lambda x: x IS NOT NULL), ',') END AS changed
  FROM h""")
 def version_history(v: Views) -> DataFrame:
-    got = V.history(v.versions, ["model", "item_type", "title"], F.floor(F.col("id") / 100000))
+    got = V.history(v.versions, ["model", "item_type", "title"], by_range("id"))
     return got.select("item_id", "id", F.array_join("changed_fields", ",").alias("changed"))
 
 

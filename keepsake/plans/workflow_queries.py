@@ -9,18 +9,13 @@ from keepsake.functions import geometry as G
 from keepsake.operators import links as K
 from keepsake.operators import workflow as W
 from keepsake.operators.scale import numbered
-from keepsake.plans.bindings import ACTIONS, ITEMS, PHOTOS, VERSIONS, Views
+from keepsake.plans.bindings import ACTIONS, ITEMS, PHOTOS, VERSIONS, Views, by_hex, by_range
 from keepsake.plans.registry import query
 from keepsake.session import cut
 
 OPEN = "status NOT IN ('approved', 'rejected')"
 
 
-def by_hash(column: str):
-    """Bucket of hash-like ids: their first three hex digits."""
-    return F.substring(column, 1, 3)
-
-
 @query("photos_by_status", f"WITH {PHOTOS} SELECT sha256, status FROM photos WHERE status IN ('ingested', 'segmented')")
 def photos_by_status(v: Views) -> DataFrame:
     return v.photos.where(F.col("status").isin("ingested", "segmented")).select("sha256", "status")
@@ -29,7 +24,7 @@ def photos_by_status(v: Views) -> DataFrame:
 @query("photo_positions", f"""WITH {PHOTOS} SELECT sha256, row_number() OVER (ORDER BY COALESCE(captured_at, ingested_at), sha256) AS position FROM photos""")
 def photo_positions(v: Views) -> DataFrame:
     at = F.coalesce("captured_at", "ingested_at")
-    return numbered(v.photos, [], W.photo_order(), F.struct(at.alias("at"), by_hash("sha256").alias("h")), "position").select(
+    return numbered(v.photos, [], W.photo_order(), [F.to_date(at), at, *by_hex("sha256")], "position").select(
         "sha256", "position")
 
 
@@ -101,7 +96,7 @@ def review_progress(v: Views) -> DataFrame:
  SELECT id, COALESCE(lead(id) OVER (ORDER BY id), lag(id) OVER (ORDER BY id)) AS next_id FROM q""")
 def next_in_queue(v: Views) -> DataFrame:
     shown = cut(v.items.where(W.in_view("flagged")).select("id"))
-    return W.next_in_queue(shown, by_hash("id"))
+    return W.next_in_queue(shown, by_hex("id"))
 
 
 @query("photo_context", f"""WITH {PHOTOS}, {ITEMS}, n AS (SELECT photo_sha256, count(*) - 1 AS neighbours FROM items GROUP BY ALL)
@@ -125,7 +120,7 @@ def parent_labels(v: Views) -> DataFrame:
  SELECT sha256, original_name, COALESCE(page, 0) AS page, COALESCE(items, '') AS items FROM photos LEFT JOIN g ON photo_sha256 = sha256""")
 def photo_pages(v: Views) -> DataFrame:
     items = cut(v.items.select("photo_sha256", "seq", "id", "status"))
-    pages = W.photo_pages(v.photos.select("sha256", "original_name"), items, F.floor(F.col("seq") / 1000))
+    pages = W.photo_pages(v.photos.select("sha256", "original_name"), items, by_range("seq", 1000))
     listed = F.array_join(F.transform("items", lambda i: F.concat(i.id, F.lit(":"), i.status)), ",")
     return pages.select("sha256", "original_name", "page", F.coalesce(listed, F.lit("")).alias("items"))
 
