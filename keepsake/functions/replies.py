@@ -44,14 +44,17 @@ def extract_json(df: DataFrame, reply: str, out: str = "data", tier: str = "tier
     """Parse whole replies, then fenced blocks, then the first balanced span.
 
     The first two tiers stay in the JVM. Only replies that both miss are sent
-    to Python, and only their own text goes there.
+    to Python, and only their own text goes there. The parser reads the first
+    value and lets text follow it, so it is only tried where an object starts.
     """
+    def parsed(value: Column) -> Column:
+        return F.when(value.startswith("{"), F.try_parse_json(value))
+
     text = stripped(F.coalesce(F.col(reply), F.lit("")))
-    fenced = F.regexp_extract(text, FENCE, 1)
+    fenced = stripped(F.regexp_extract(text, FENCE, 1))
     tried = (
-        df.withColumn("__whole", F.try_parse_json(F.nullif(text, F.lit(""))))
-        .withColumn("__fenced", F.when(F.col("__whole").isNull(),
-                                       F.try_parse_json(F.nullif(stripped(fenced), F.lit("")))))
+        df.withColumn("__whole", parsed(text))
+        .withColumn("__fenced", F.when(F.col("__whole").isNull(), parsed(fenced)))
     )
     found = F.coalesce("__whole", "__fenced")
     residue = F.when(found.isNull(), text)

@@ -21,11 +21,11 @@ LINK = ["item_id", "kind", "slug"]
 
 def mentions_of(records: DataFrame, item: str, arrival: str) -> DataFrame:
     """One row per name in the four lists of a record: item_id, kind, name, arrival, pos."""
-    kinds = F.array(*[
-        F.transform(F.col(c), lambda n, i, k=k: F.struct(
-            F.lit(k).alias("kind"), n.alias("name"), i.cast("long").alias("pos")))
-        for c, k in ENTITY_KINDS.items()
-    ])
+    def named(column: str, kind: str) -> Column:
+        return F.transform(F.col(column), lambda n, i: F.struct(
+            F.lit(kind).alias("kind"), n.alias("name"), i.cast("long").alias("pos")))
+
+    kinds = F.array(*[named(c, k) for c, k in ENTITY_KINDS.items()])
     return records.select(F.col(item).alias("item_id"), F.col(arrival).alias("arrival"),
                           F.inline(F.flatten(kinds)))
 
