@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.geometry import Box, containment, iou
-from keepsake.operators.scale import least_ancestor, numbered
+from keepsake.operators.scale import least_ancestor, numbered, side_by_side
 
 CELL = 256
 COORDS = ("x0", "y0", "x1", "y1")
@@ -92,7 +92,7 @@ def evaluation(matches: DataFrame, threshold: float = 0.8) -> DataFrame:
         F.sum("items").alias("items"), F.sum("found").alias("found"), F.count(F.lit(1)).alias("photos"),
         F.count_if(F.col("items") == F.col("found")).alias("complete_photos"))
     middle = matches.agg(F.median("iou").alias("median_iou"))
-    return scenes.join(middle).withColumn("recall", F.col("found") / F.col("items"))  # one row each
+    return side_by_side(scenes, middle).withColumn("recall", F.col("found") / F.col("items"))
 
 
 def shape_filter(candidates: DataFrame, min_area: float = 0.015, max_area: float = 0.90,

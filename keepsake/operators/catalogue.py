@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keepsake.functions.dates import date_key, decade_of, display_date, year_of
 from keepsake.functions.search import snippet, term_hits, terms_of
 from keepsake.functions.text import nonempty, stripped
-from keepsake.operators.scale import numbered, resolve_roots
+from keepsake.operators.scale import numbered, resolve_roots, side_by_side
 from keepsake.schemas import UNPUBLISHABLE
 from keepsake.session import cut
 
@@ -156,7 +156,7 @@ def catalogue_counts(records: DataFrame, links: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == k).alias(n)
         for k, n in (("person", "people"), ("place", "places"),
                      ("organization", "organizations"), ("topic", "topics"))])
-    return totals.join(by_kind)  # one row each
+    return side_by_side(totals, by_kind)
 
 
 def facets(records: DataFrame, column: str = "type") -> DataFrame:
@@ -203,17 +203,13 @@ def media_manifest(entries: DataFrame, pages: DataFrame, derivatives: DataFrame)
 def build_summary(before: DataFrame, entries: DataFrame, media: DataFrame, links: DataFrame) -> DataFrame:
     """Items, unapproved (counted before folding), media files and bytes, entities, decades."""
     shown = links.join(entries.select(F.col("id").alias("item_id")), "item_id", "left_semi")
-    rows = [
+    return side_by_side(
         entries.agg(F.count(F.lit(1)).alias("items"),
                     F.count_distinct(F.coalesce(nonempty(F.col("decade")), F.lit("Undated"))).alias("decades")),
         before.agg(F.count_if(F.col("status") != "approved").alias("unapproved")),
         media.agg(F.count(F.lit(1)).alias("media_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("media_bytes")),
         shown.select("kind", "slug").distinct().agg(F.count(F.lit(1)).alias("entities")),
-    ]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.join(row)  # one row each
-    return out
+    )
 
 
 def search(entries: DataFrame, bodies: DataFrame, query: str, limit: int = 100) -> DataFrame:

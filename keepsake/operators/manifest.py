@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.files import excluded
+from keepsake.operators.scale import side_by_side
 from keepsake.schemas import ALWAYS_EXCLUDED
 
 # Token estimates per item.
@@ -45,7 +46,7 @@ def staleness(data: DataFrame, updated: str, builds: DataFrame, built: str) -> D
     """Is the data newer than the last build? False where either is missing."""
     newest = data.agg(F.max(updated).alias("data_at"))
     last = builds.agg(F.max(built).alias("built_at"))
-    return newest.join(last).withColumn(  # one row each
+    return side_by_side(newest, last).withColumn(
         "stale", F.coalesce(F.col("data_at") > F.col("built_at"), F.lit(False)))
 
 

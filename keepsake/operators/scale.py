@@ -1,9 +1,9 @@
 """Ordering and graph helpers that hold when one key owns a large share of the rows.
 
-A plain window sends a whole key to one task. Here a key is cut into buckets
-that follow the wanted order, each bucket is windowed alone, and one small
-aggregate per bucket carries counts or edge rows across. Results equal the
-plain window's.
+A plain window sends a whole key to one task. Keys of moderate size are served
+that way; a key with more than ``HOT_ROWS`` rows is cut into buckets that
+follow the wanted order, each bucket is windowed alone, and one small aggregate
+per bucket carries counts or edge rows across. Results equal the plain window's.
 """
 
 from __future__ import annotations
@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 
 from keepsake.session import cut
 
+HOT_ROWS = 1_000_000
+
+
+def _by_size(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of moderate keys, rows of hot keys); None for a side that is known to be empty."""
+    if not keys:
+        return None, df
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = cut(sizes.where(F.col("__n") > hot_rows).select(*keys))
+    if hot.isEmpty():
+        return df, None
+    return df.join(hot, [*keys], "left_anti"), df.join(hot, [*keys], "left_semi")
+
 
 def _tagged(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[str]]:
     names = [f"__b{i}" for i in range(len(buckets))]
@@ -22,14 +35,27 @@ def _tagged(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[s
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: Sequence[Column],
-             out: str = "rn") -> DataFrame:
+             out: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
     """1-based row number within the keys (keys and buckets must not be null).
 
     ``buckets`` go from coarse to fine, for instance a day and then ``id div 100000``. Along
     ``order`` they must never decrease, compared one after the other. Each level should
     have a moderate number of values within the level above, and the finest should bound the rows it
-    holds. The input is read twice (sizes and rows), so cut it first where it is costly to make.
+    holds. The input is read more than once (sizes, then rows), so cut it first where it is costly to make.
     """
+    columns = [c for c in df.columns if c != out]
+    moderate, hot = _by_size(df, keys, hot_rows)
+    done = []
+    if moderate is not None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        done.append(moderate.withColumn(out, F.row_number().over(whole).cast("long")).select(*columns, out))
+    if hot is not None:
+        done.append(_numbered_by_bucket(hot, keys, order, buckets, out).select(*columns, out))
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
+
+
+def _numbered_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: Sequence[Column],
+                        out: str) -> DataFrame:
     tagged, names = _tagged(df, buckets)
     sizes = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n"))
     starts, total = sizes.select(*keys, *names, "__n"), F.lit(0)
@@ -45,11 +71,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket
         total = total + F.col(f"__s{level}")
     starts = starts.select(*keys, *names, total.alias("__start"))
     local = tagged.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)))
-    return (
-        local.join(starts, [*keys, *names])
-        .withColumn(out, (F.col("__rn") + F.col("__start")).cast("long"))
-        .select(*[c for c in df.columns if c != out], out)
-    )
+    return local.join(starts, [*keys, *names]).withColumn(out, (F.col("__rn") + F.col("__start")).cast("long"))
 
 
 def _edges(ends: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -67,11 +89,27 @@ def _edges(ends: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFr
 
 
 def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: Sequence[Column],
-                    value: Column, before: str | None = None, after: str | None = None) -> DataFrame:
+                    value: Column, before: str | None = None, after: str | None = None,
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """The value of the previous and next row within the keys, by ascending order columns.
 
-    ``buckets`` as in ``numbered``.
+    ``buckets`` and ``hot_rows`` as in ``numbered``.
     """
+    moderate, hot = _by_size(df, keys, hot_rows)
+    near = []
+    if moderate is not None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        pack = F.struct(value.alias("v"))
+        near.append(moderate.select("*", F.lag(pack).over(whole).alias("__near_b"), F.lead(pack).over(whole).alias("__near_a")))
+    if hot is not None:
+        near.append(_neighbours_by_bucket(hot, keys, order, buckets, value))
+    both = near[0] if len(near) == 1 else near[0].unionByName(near[1])
+    added = [F.col(c).getField("v").alias(n) for c, n in (("__near_b", before), ("__near_a", after)) if n]
+    return both.select(*df.columns, *added)
+
+
+def _neighbours_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: Sequence[Column],
+                          value: Column) -> DataFrame:
     tagged, names = _tagged(df, buckets)
     tagged = tagged.withColumn("__v", F.struct(value.alias("v")))
     rank = F.struct(*order)
@@ -83,12 +121,8 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
         .withColumn("__lead", F.lead("__v").over(inside))
         .join(_edges(ends, keys, names), [*keys, *names])
     )
-    added = []
-    if before:
-        added.append(F.coalesce("__lag", "__before").getField("v").alias(before))
-    if after:
-        added.append(F.coalesce("__lead", "__after").getField("v").alias(after))
-    return near.select(*df.columns, *added)
+    return near.select(*df.columns, F.coalesce("__lag", "__before").alias("__near_b"),
+                       F.coalesce("__lead", "__after").alias("__near_a"))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -114,20 +148,21 @@ def resolve_roots(pointers: DataFrame, node: str, parent: str, root: str = "root
     known = nodes.select(F.col("n").alias("p"), F.lit(True).alias("known"))
     start = nodes.join(known, "p", "left").select(
         "n", F.when(F.col("known") & (F.col("p") != F.col("n")), F.col("p")).alias("p"))
-    # Rows: n, where it points so far, smallest node met on the way, finished or not.
-    done = start.where("p is null").select("n", F.col("n").alias("root"))
+    # Open rows: node, where it points so far, smallest node met on the way.
+    finished = [cut(start.where("p is null").select("n", F.col("n").alias("root")))]
     open_rows = cut(start.where("p is not null").select("n", "p", F.least("n", "p").alias("low")))
-    finished = cut(done)
     left = open_rows.count()
     span, bound = 1, None
     while left:
-        ended = finished.select(F.col("n").alias("p"), F.col("root"))
-        resolved = open_rows.join(ended, "p").select("n", "root")
-        rest = open_rows.join(ended, "p", "left_anti")
-        hop = open_rows.select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("low").alias("low2"))
-        rest = rest.join(hop, "p").select("n", F.col("p2").alias("p"), F.least("low", "low2").alias("low"))
-        finished = cut(finished.unionByName(resolved))
-        open_rows = cut(rest)
+        # A pointer always leads to an open row or to one that was finished in the last round.
+        last = finished[-1].select(F.col("n").alias("p"), "root")
+        state = open_rows.join(last, "p", "left")
+        ahead = state.select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("low").alias("low2"), F.col("root").alias("root2"))
+        hopped = state.where("root is null").join(ahead, "p").select(
+            "n", F.col("p2").alias("p"), F.least("low", "low2").alias("low"), F.col("root2").alias("root"))
+        moved = cut(state.where("root is not null").select("n", "p", "low", "root").unionByName(hopped))
+        finished.append(moved.where("root is not null").select("n", "root"))
+        open_rows = moved.where("root is null").drop("root")
         span *= 2
         now = open_rows.count()
         if now == left and bound is None:
@@ -136,10 +171,21 @@ def resolve_roots(pointers: DataFrame, node: str, parent: str, root: str = "root
             cycle = open_rows.select(F.col("p").alias("c")).distinct()
             tops = open_rows.join(cycle, F.col("n") == F.col("c"), "left_semi").select(
                 F.col("n").alias("p"), F.col("low").alias("root"))
-            finished = finished.unionByName(open_rows.join(tops, "p").select("n", "root"))
+            finished.append(open_rows.join(tops, "p").select("n", "root"))
             break
         left = now
-    return finished.select(F.col("n").alias(node), F.col("root").alias(root))
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("n").alias(node), F.col("root").alias(root))
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row frames."""
+    stacked = rows[0]
+    for row in rows[1:]:
+        stacked = stacked.unionByName(row, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def least_ancestor(edges: DataFrame, group: str, node: str, earlier: str, label: str = "label") -> DataFrame:

@@ -11,7 +11,8 @@ from keepsake.functions.geometry import rotated, valid_quad
 from keepsake.operators.scale import first_by, numbered, with_neighbours
 from keepsake.schemas import DECIDED
 
-STATUS_AFTER = {"approve": "approved", "reject": "rejected", "recrop": "detected", "rotate": "rectified"}
+# A new crop and a turn are both followed at once by a new rendering.
+STATUS_AFTER = {"approve": "approved", "reject": "rejected", "recrop": "rectified", "rotate": "rectified"}
 
 
 def update_by_id(items: DataFrame, changes: DataFrame, values: dict[str, Column]) -> DataFrame:

@@ -65,7 +65,7 @@ class Views:
     @cached_property
     def records(self) -> DataFrame:
         """documents with labels and, by number, the date and status of an order."""
-        d, lab = self.t("documents"), self.t("labels")
+        d, lab = spread(self.t("documents")), self.t("labels")
         orders = self.t("orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate", "o_orderpriority",
                                          "o_orderstatus")
         c = F.col
@@ -154,10 +154,10 @@ class Views:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """lineitem, one row per (order, line)."""
-        return self.t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-            *[F.min(f"l_{n}").alias(n) for n in ("partkey", "suppkey", "quantity", "discount", "tax",
-                                                 "returnflag", "linestatus")])
+        """lineitem, one row per (order, line). The one-letter flags are compared as numbers, which hashes."""
+        numbers = [F.min(f"l_{n}").alias(n) for n in ("partkey", "suppkey", "quantity", "discount", "tax")]
+        flags = [F.char(F.min(F.ascii(f"l_{n}"))).alias(n) for n in ("returnflag", "linestatus")]
+        return self.t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*numbers, *flags)
 
     @cached_property
     def items(self) -> DataFrame:

@@ -221,7 +221,7 @@ def upserted_overrides(v: Views) -> DataFrame:
         "user_id", "event_type", "props")
 
 
-FOLD = f"""{ACTIONS} SELECT item_id, arg_max(CASE action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'recrop' THEN 'detected'
+FOLD = f"""{ACTIONS} SELECT item_id, arg_max(CASE action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'recrop' THEN 'rectified'
  WHEN 'rotate' THEN 'rectified' END, ("at", seq)) FILTER (action <> 'edit') AS status,
  CAST(sum(CASE WHEN action = 'rotate' THEN degrees ELSE 0 END) % 360 AS BIGINT) AS rotation,
  bool_or(action IN ('approve', 'reject')) AS flag_cleared, FALSE AS deleted, count(*) AS n_actions FROM actions GROUP BY item_id"""

@@ -16,6 +16,6 @@ def spread(df: DataFrame) -> DataFrame:
     at scale this adds no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)

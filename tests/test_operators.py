@@ -26,20 +26,20 @@ def skewed(spark, n=600):
     return spark.createDataFrame(rows, "k string, v int, i long").repartition(5)
 
 
-@pytest.mark.parametrize("keys", [["k"], []])
-def test_numbering_equals_the_plain_window(spark, keys):
+@pytest.mark.parametrize("keys,hot", [(["k"], 0), (["k"], 100), (["k"], 10**6), ([], 0)])
+def test_numbering_equals_the_plain_window(spark, keys, hot):
     df = skewed(spark)
     buckets = [F.floor(F.col("v") / 10), F.col("v"), F.floor(F.col("i") / 100)]
-    got = S.numbered(df, keys, [F.col("v"), F.col("i")], buckets, "rn")
+    got = S.numbered(df, keys, [F.col("v"), F.col("i")], buckets, "rn", hot)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("v", "i")).cast("long"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("keys", [["k"], []])
-def test_neighbours_equal_the_plain_window(spark, keys):
+@pytest.mark.parametrize("keys,hot", [(["k"], 0), (["k"], 100), (["k"], 10**6), ([], 0)])
+def test_neighbours_equal_the_plain_window(spark, keys, hot):
     df = skewed(spark)
     w = Window.partitionBy(*keys).orderBy("v", "i")
-    got = S.with_neighbours(df, keys, ["v", "i"], [F.floor(F.col("v") / 10), F.floor(F.col("v") / 2)], F.col("i"), "p", "n")
+    got = S.with_neighbours(df, keys, ["v", "i"], [F.floor(F.col("v") / 10), F.floor(F.col("v") / 2)], F.col("i"), "p", "n", hot)
     want = df.withColumn("p", F.lag("i").over(w)).withColumn("n", F.lead("i").over(w))
     def order(t):
         return t[2]
