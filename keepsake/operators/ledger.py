@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from keepsake.functions.files import safe_name, stem, suffix
 from keepsake.operators.scale import numbered
 from keepsake.schemas import BACKLOG_HASH_LIMIT, LOW_RESOLUTION_MP
+from keepsake.session import cut
 
 
 def content_hash(content: Column) -> Column:
@@ -91,28 +93,35 @@ def backlog(inbox: DataFrame, ledger: DataFrame, folder: str, content: str,
 
 
 def landing_names(uploads: DataFrame, raw: str, arrival: str, buckets: Sequence[Column]) -> DataFrame:
-    """Safe names for uploads; the n-th file of one name lands as ``stem-n.ext``.
+    """Safe names for uploads (unique ``arrival``); the n-th file of one name lands as ``stem-n.ext``.
 
-    Refused names come back with a null landing name. Where a numbered name equals one that
-    was uploaded under that very name, the numbered copy takes its number a second time.
+    Refused names come back with a null landing name. A numbered name that somebody also uploaded as
+    such belongs to that upload, and the numbered file queues up as a further copy of it. So no two
+    files ever land under one name.
     """
     named = uploads.withColumn("safe", safe_name(F.col(raw)))
-    counted = numbered(named.where("safe is not null"), ["safe"], [F.col(arrival)], buckets, "copy_no")
+    taken = cut(named.where("safe is not null").select(F.col("safe").alias("__name")).distinct())
     ending = F.regexp_extract("safe", r"(\.[^.]+)$", 1)
-    first = stem(F.col("safe"))
-    numbered_name = F.concat(first, F.lit("-"), F.col("copy_no"), ending)
-    twice = F.concat(first, F.lit("-"), F.col("copy_no"), F.lit("-"), F.col("copy_no"), ending)
-    literal = named.select(F.col("safe").alias("__name")).where(
-        F.col("__name").rlike(r"-[0-9]+\.[^.]+$")).distinct()
-    landed = (
-        counted.withColumn("__try", numbered_name)
-        .join(literal, F.col("__try") == F.col("__name"), "left")
-        .withColumn("landing_name", F.when(F.col("copy_no") == 1, F.col("safe"))
-                    .when(F.col("__name").isNull(), F.col("__try")).otherwise(twice))
-    )
+    label = F.when(F.col("copy_no") == 1, F.col("safe")).otherwise(
+        F.concat(stem(F.col("safe")), F.lit("-"), F.col("copy_no"), ending))
+    keep = [*uploads.columns, "safe", "copy_no", "landing_name"]
+    waiting = numbered(named.where("safe is not null"), ["safe"], [F.col(arrival)], buckets, "copy_no")
+    settled: list[DataFrame] = []
+    numbers: list[DataFrame] = []
+    while True:
+        tried = waiting.withColumn("landing_name", label)
+        checked = cut(tried.join(taken, (F.col("copy_no") > 1) & (F.col("landing_name") == F.col("__name")), "left"))
+        settled.append(checked.where("__name is null").select(*keep))
+        numbers.append(checked.groupBy("safe").agg(F.max("copy_no").alias("__last")))
+        moved = checked.where("__name is not null").select(*uploads.columns, F.col("landing_name").alias("safe"))
+        if moved.isEmpty():
+            break
+        so_far = reduce(DataFrame.unionByName, numbers).groupBy("safe").agg(F.max("__last").alias("__last"))
+        waiting = numbered(moved, ["safe"], [F.col(arrival)], buckets, "__rn").join(so_far, "safe").withColumn(
+            "copy_no", F.col("__rn") + F.col("__last")).drop("__rn", "__last")
     refused = named.where("safe is null").withColumn("landing_name", F.lit(None).cast("string"))
-    return landed.select(*uploads.columns, "landing_name").unionByName(
-        refused.select(*uploads.columns, "landing_name"))
+    landed = reduce(DataFrame.unionByName, settled).select(*uploads.columns, "landing_name")
+    return landed.unionByName(refused.select(*uploads.columns, "landing_name"))
 
 
 def exact_duplicates(items: DataFrame, key: str, hashed: str, out: str = "duplicate_of") -> DataFrame:

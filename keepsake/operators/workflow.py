@@ -189,6 +189,27 @@ def with_item_ids(fresh: DataFrame, existing: DataFrame, order: list[Column],
         "id", F.format_string("%s-%02d", F.substring("photo_sha256", 1, 12), F.col("seq"))).drop("__rn", "__last")
 
 
+def item_payloads(items: DataFrame, live: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
+    """Items with their live version, their entities and the number of their links.
+
+    ``names`` holds (item_id, entities); the links themselves stay rows of their own, see ``link_pages``.
+    """
+    fields = [c for c in live.columns if c != "item_id"]
+    version = live.select(F.col("item_id").alias("id"), F.struct(*fields).alias("analysis"))
+    counted = links.groupBy(F.col("item_id").alias("id")).agg(F.count(F.lit(1)).alias("__links"))
+    joined = items.join(version, "id", "left").join(names.withColumnRenamed("item_id", "id"), "id", "left").join(
+        counted, "id", "left")
+    return joined.withColumn("n_related", F.coalesce("__links", F.lit(0))).drop("__links")
+
+
+def link_pages(links: DataFrame, buckets: Sequence[Column], page_size: int = 500) -> DataFrame:
+    """Each item's links nested in pages, by the other item's id."""
+    placed = numbered(links, ["item_id"], [F.col("related_item_id")], buckets, "__rn").withColumn(
+        "page", F.floor((F.col("__rn") - 1) / page_size))
+    one = F.struct("related_item_id", "reason", "source")
+    return placed.groupBy("item_id", "page").agg(F.array_sort(F.collect_list(one)).alias("related"))
+
+
 def photo_pages(photos: DataFrame, items: DataFrame, buckets: Sequence[Column], page_size: int = 200) -> DataFrame:
     """Photos with their items nested, in pages of bounded size. Photos without items keep one page."""
     placed = numbered(items, ["photo_sha256"], [F.col("seq")], buckets, "__rn").withColumn(

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions import geometry as G
+from keepsake.operators import entities as E
 from keepsake.operators import links as K
 from keepsake.operators import workflow as W
 from keepsake.operators.scale import numbered
-from keepsake.plans.bindings import ACTIONS, ITEMS, PHOTOS, VERSIONS, Views, by_hex, by_range
+from keepsake.plans.bindings import ACTIONS, ITEMS, MENTIONS, PHOTOS, RECORDS, VERSIONS, Views, by_digits, by_hex, by_range
+from keepsake.plans.entity_queries import LINKS, item_links
 from keepsake.plans.registry import query
 from keepsake.session import cut
 
@@ -125,6 +127,26 @@ def photo_pages(v: Views) -> DataFrame:
     return pages.select("sha256", "original_name", "page", F.coalesce(listed, F.lit("")).alias("items"))
 
 
+@query("item_payloads", f"""WITH {RECORDS}, {MENTIONS}, {LINKS}, n AS (SELECT item_id, string_agg(kind || ':' || name, '|' ORDER BY kind, name, slug) AS names
+  FROM links JOIN ents USING (kind, slug) GROUP BY ALL), k AS (SELECT item_id, count(*) AS n FROM sym GROUP BY ALL)
+ SELECT id, status, CASE WHEN status <> 'detected' AND status <> 'rectified' THEN title END AS title, COALESCE(names, '') AS names,
+ COALESCE(k.n, 0) AS n_related FROM records LEFT JOIN n ON n.item_id = id LEFT JOIN k ON k.item_id = id""")
+def item_payloads(v: Views) -> DataFrame:
+    live = v.records.where("status != 'detected' and status != 'rectified'").select(F.col("id").alias("item_id"), "title", "type")
+    names = E.item_names(E.model_links(v.slugged), E.entities(v.slugged))
+    got = W.item_payloads(v.records.select("id", "status"), live, names, K.symmetric(item_links(v)))
+    listed = F.array_join(F.transform("entities", lambda e: F.concat(e.kind, F.lit(":"), e["name"])), "|")
+    return got.select("id", "status", F.col("analysis.title").alias("title"), F.coalesce(listed, F.lit("")).alias("names"), "n_related")
+
+
+@query("link_pages", f"""WITH {LINKS}, p AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY related_item_id) - 1) // 500 AS page FROM sym)
+ SELECT item_id, page, string_agg(related_item_id || ':' || source, ',' ORDER BY related_item_id) AS related FROM p GROUP BY ALL""")
+def link_pages(v: Views) -> DataFrame:
+    pages = W.link_pages(cut(K.symmetric(item_links(v))), by_digits("related_item_id"))
+    return pages.select("item_id", "page", F.array_join(F.transform(
+        "related", lambda r: F.concat(r.related_item_id, F.lit(":"), r.source)), ",").alias("related"))
+
+
 # ---- changes ---------------------------------------------------------------------
 
 HITS = """

@@ -376,8 +376,11 @@ def test_landing_names_never_clash(spark):
     df = spark.createDataFrame([(1, "a.jpg"), (2, "x/a.jpg"), (3, "a-2.jpg"), (4, "a.jpg"), (5, "bad.txt")], "at long, raw string")
     got = {r.at: r.landing_name for r in L.landing_names(df, "raw", "at", [F.col("at")]).collect()}
     assert got[1] == "a.jpg" and got[3] == "a-2.jpg" and got[4] == "a-3.jpg" and got[5] is None
-    names = [n for n in got.values() if n]
-    assert len(set(names)) == len(names)
+    assert got[2] == "a-2-2.jpg"
+    rng = random.Random(4)
+    many = [(i, rng.choice(["a", "a-2", "a-2-2", "a-3", "b"]) + ".jpg") for i in range(60)]
+    names = [r.landing_name for r in L.landing_names(spark.createDataFrame(many, "at long, raw string"), "raw", "at", [F.col("at")]).collect()]
+    assert len(set(names)) == 60 and {n for _, n in many} <= set(names)
 
 
 FILE = "path string, size long, hash string"
