@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -61,60 +62,69 @@ def rectangle(box: Box) -> Column:
                    point(box.x1, box.y1), point(box.x0, box.y1))
 
 
+def corners(quad: Column) -> list[Column]:
+    """The four corners one by one, so that all arithmetic on them is compiled."""
+    return [F.get(quad, F.lit(i)) for i in range(4)]
+
+
 def quad_box(quad: Column) -> Box:
-    xs, ys = F.transform(quad, lambda p: p.x), F.transform(quad, lambda p: p.y)
-    return Box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    xs, ys = [p.x for p in corners(quad)], [p.y for p in corners(quad)]
+    return Box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
 
 
-def _pick(quad: Column, rank, largest: bool) -> Column:
-    """The corner of smallest (or largest) rank; the earlier one where two tie."""
-    sign = -1.0 if largest else 1.0
-    keyed = F.transform(quad, lambda p, i: F.struct((rank(p) * sign).alias("r"), i.alias("i"), p.alias("p")))
-    return F.array_min(keyed).p
+def _pick(quad: Column, rank: Callable[[Column], Column], sign: float) -> Column:
+    """The corner of smallest signed rank; the earlier one where two tie."""
+    keyed = [F.struct((rank(p) * sign).alias("r"), F.lit(i).alias("i"), p.alias("p")) for i, p in enumerate(corners(quad))]
+    return F.least(*keyed).p
 
 
 def order_corners(quad: Column) -> Column:
     total, slant = (lambda p: p.x + p.y), (lambda p: p.y - p.x)
-    return F.array(_pick(quad, total, False), _pick(quad, slant, False),
-                   _pick(quad, total, True), _pick(quad, slant, True))
+    return F.array(_pick(quad, total, 1.0), _pick(quad, slant, 1.0),
+                   _pick(quad, total, -1.0), _pick(quad, slant, -1.0))
 
 
 def quad_area(quad: Column) -> Column:
-    turned = F.concat(F.slice(quad, 2, F.size(quad) - 1), F.slice(quad, 1, 1))
-    cross = F.zip_with(quad, turned, lambda p, q: p.x * q.y - p.y * q.x)
-    return 0.5 * F.abs(F.aggregate(cross, F.lit(0.0), lambda acc, v: acc + v))
+    at = corners(quad)
+    cross = sum((p.x * q.y - p.y * q.x for p, q in zip(at, [*at[1:], at[0]])), F.lit(0.0))
+    return 0.5 * F.abs(cross)
+
+
+def _each(quad: Column, move: Callable[[Column], Column]) -> Column:
+    return F.array(*[move(p) for p in corners(quad)])
 
 
 def scale_quad(quad: Column, factor: Column) -> Column:
-    return F.transform(quad, lambda p: point(p.x * factor, p.y * factor))
+    return _each(quad, lambda p: point(p.x * factor, p.y * factor))
 
 
 def clip_quad(quad: Column, width: Column, height: Column) -> Column:
     def bound(value: Column, size: Column) -> Column:
         return F.least(F.greatest(value, F.lit(0.0)), F.greatest(F.lit(0.0), (size - 1).cast("double")))
 
-    return F.transform(quad, lambda p: point(bound(p.x, width), bound(p.y, height)))
+    return _each(quad, lambda p: point(bound(p.x, width), bound(p.y, height)))
 
 
 def expand_quad(quad: Column, margin: Column) -> Column:
     """Push each corner away from the centre by the margin."""
-    def mean(axis: str) -> Column:
-        return F.aggregate(quad, F.lit(0.0), lambda acc, p: acc + p[axis]) / F.size(quad)
+    at = corners(quad)
+    cx, cy = sum((p.x for p in at), F.lit(0.0)) / 4, sum((p.y for p in at), F.lit(0.0)) / 4
 
     def push(p: Column) -> Column:
-        dx, dy = p.x - mean("x"), p.y - mean("y")
+        dx, dy = p.x - cx, p.y - cy
         length = F.hypot(dx, dy)
         length = F.when(length == 0, 1.0).otherwise(length)
         return point(p.x + dx / length * margin, p.y + dy / length * margin)
 
-    return F.transform(quad, push)
+    return _each(quad, push)
 
 
 def edge_lengths(quad: Column) -> tuple[Column, Column]:
     """(width, height), the longer of each pair of opposite edges."""
+    at = corners(quad)
+
     def between(i: int, j: int) -> Column:
-        p, q = F.get(quad, F.lit(i)), F.get(quad, F.lit(j))
-        return F.hypot(p.x - q.x, p.y - q.y)
+        return F.hypot(at[i].x - at[j].x, at[i].y - at[j].y)
 
     return F.greatest(between(0, 1), between(3, 2)), F.greatest(between(0, 3), between(1, 2))
 

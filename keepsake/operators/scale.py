@@ -195,7 +195,7 @@ def least_ancestor(edges: DataFrame, group: str, node: str, earlier: str, label:
     Rounds take the best of the neighbours' labels and then the label's own label, so their
     number grows with the logarithm of the longest path.
     """
-    links = cut(edges.select(group, node, earlier).distinct())
+    links = cut(edges.select(group, node, earlier))
     labels = cut(links.groupBy(group, node).agg(F.min(earlier).alias(label)))
     while True:
         of_label = labels.select(group, F.col(node).alias("__at"), F.col(label).alias("__up"))
@@ -209,7 +209,7 @@ def least_ancestor(edges: DataFrame, group: str, node: str, earlier: str, label:
             labels.join(near, [group, node], "left").join(jump, [group, node], "left")
             .select(group, node, F.col(label).alias("__old"), F.least(label, "__near", "__jump").alias(label))
         )
-        changed = updated.where(F.col("__old") != F.col(label)).limit(1).count()
+        settled = updated.where(F.col("__old") != F.col(label)).isEmpty()
         labels = updated.drop("__old")
-        if not changed:
+        if settled:
             return labels

@@ -40,7 +40,7 @@ def records_from_replies(v: Views) -> DataFrame:
     return normalise(extract_json(v.replies, "reply"))
 
 
-@query("json_extraction", f"""WITH {RECORDS} SELECT id AS item_id, title, CASE presentation WHEN 'text' THEN 'whole'
+@query("json_extraction", f"""WITH {RECORDS} SELECT id AS item_id, split_part(text, chr(10), 1) AS title, CASE presentation WHEN 'text' THEN 'whole'
  WHEN 'both' THEN 'fenced' ELSE 'span' END AS tier FROM records""")
 def json_extraction(v: Views) -> DataFrame:
     return extract_json(v.replies, "reply").select(
