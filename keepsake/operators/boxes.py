@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.geometry import Box, containment, iou
 from keepsake.operators.scale import least_ancestor, numbered, side_by_side
+from keepsake.schemas import NOTES
 
 CELL = 256
 COORDS = ("x0", "y0", "x1", "y1")
@@ -186,7 +187,7 @@ def at_least_one(photos: DataFrame, boxes: DataFrame) -> DataFrame:
 def photo_notes(boxes: DataFrame, sure: float = 0.6) -> DataFrame:
     """Photos where no box is sure."""
     best = boxes.groupBy("photo").agg(F.max("confidence").alias("best"))
-    return best.withColumn("note", F.when(F.col("best") < sure, "low-confidence detection"))
+    return best.withColumn("note", F.when(F.col("best") < sure, NOTES["photo"]))
 
 
 def detection_summary(items: DataFrame) -> DataFrame:

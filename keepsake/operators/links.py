@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.operators.scale import first_by
+from keepsake.schemas import HINTS
 
 PAIR = ["item_id", "related_item_id"]
 
@@ -62,13 +63,9 @@ def photo_context(items: DataFrame, photos: DataFrame) -> DataFrame:
 def context_text() -> Column:
     """Hints given with an item: when it was digitised and how many lay beside it."""
     day, n = F.date_format("captured_at", "yyyy-MM-dd"), F.col("neighbours")
+    beside = (F.coalesce(F.col("original_name"), F.lit("")) != "") & (n > 0)
     return F.concat_ws(
-        "\n", F.lit("Catalogue this item."),
-        F.when(day.isNotNull(), F.concat(
-            F.lit("(The photograph of this item was taken on "), day,
-            F.lit(". That is when it was digitised, not when the item itself is from - "
-                  "do not use it as the item's date.)"))),
-        F.when((F.coalesce(F.col("original_name"), F.lit("")) != "") & (n > 0), F.concat(
-            F.lit("(It was photographed alongside "), n.cast("string"), F.lit(" other item"),
-            F.when(n != 1, "s").otherwise(""), F.lit(", so related material may exist.)"))),
+        "\n", F.lit(HINTS["task"]),
+        F.when(day.isNotNull(), F.format_string(HINTS["captured"], day)),
+        F.when(beside, F.format_string(HINTS["neighbours"], n, F.when(n != 1, "s").otherwise(""))),
     )

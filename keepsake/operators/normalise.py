@@ -50,22 +50,18 @@ def empty_date_rule(df: DataFrame) -> DataFrame:
 
 def warnings() -> Column:
     """Cross-field warnings of a clean record, in fixed order."""
-    c = F.col
+    c, say = F.col, S.WARNINGS
     no_text = c("full_text") == ""
     image = c("presentation") == "image"
     return join_reasons(
-        F.when(c("legibility") <= 2, "low legibility"),
-        F.when(c("confidence") < 0.6,
-               F.concat(F.lit("low model confidence ("), F.format_string("%.2f", c("confidence")), F.lit(")"))),
-        F.when(c("date_source") == "inferred", "date inferred rather than printed"),
-        F.when(c("orientation_hint") != "upright",
-               F.concat(F.lit("may need rotating ("), c("orientation_hint"), F.lit(")"))),
-        F.when(~image & no_text, "marked as text but no transcription returned"),
-        F.when((c("date_source") == "printed") & no_text,
-               "date claimed as printed but nothing was transcribed"),
-        F.when(image & no_text & (c("visual_description") == ""),
-               "nothing describing the picture, so it cannot be found"),
-        F.when(c("title") == "", "no title"),
+        F.when(c("legibility") <= 2, say["legibility"]),
+        F.when(c("confidence") < 0.6, F.format_string(say["confidence"], c("confidence"))),
+        F.when(c("date_source") == "inferred", say["inferred"]),
+        F.when(c("orientation_hint") != "upright", F.format_string(say["orientation"], c("orientation_hint"))),
+        F.when(~image & no_text, say["untranscribed"]),
+        F.when((c("date_source") == "printed") & no_text, say["unprinted"]),
+        F.when(image & no_text & (c("visual_description") == ""), say["unfindable"]),
+        F.when(c("title") == "", say["untitled"]),
     )
 
 

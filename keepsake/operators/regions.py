@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.geometry import grid_to_pixels
 from keepsake.functions.replies import Field
-from keepsake.functions.text import clamp_confidence, join_reasons
-from keepsake.schemas import ITEM_TYPES, MEDIA
+from keepsake.functions.text import clamp_confidence, join_reasons, nonempty
+from keepsake.schemas import ITEM_TYPES, MEDIA, NOTES
 
 # Length limits of the descriptive fields.
 LIMITS = {"headline": 200, "date_hint": 80, "shape_note": 200, "part_reason": 300, "related_reason": 300}
@@ -83,11 +83,9 @@ def link_note(threshold: float) -> Column:
     """Why an asserted relationship needs a look; expects the three link columns after validation."""
     c = F.col
     part, copy, linked = c("part_of") >= 0, c("duplicate_of") >= 0, F.size("related_to") > 0
-    claim = F.when(part, "belongs with another item").when(
-        copy, "is a duplicate, so would not be published").otherwise("is linked to another item")
-    detail = F.coalesce(F.nullif(c("part_reason"), F.lit("")), F.nullif(c("related_reason"), F.lit("")))
-    text = F.concat(F.lit("model says this "), claim, F.lit(" but is only "),
-                    F.format_string("%.0f%%", F.rint(c("link_confidence") * 100)), F.lit(" sure"),
+    claim = F.when(part, NOTES["part_of"]).when(copy, NOTES["duplicate_of"]).otherwise(NOTES["related_to"])
+    detail = F.coalesce(nonempty(c("part_reason")), nonempty(c("related_reason")))
+    text = F.concat(F.format_string(NOTES["link"], claim, F.rint(c("link_confidence") * 100)),
                     F.coalesce(F.concat(F.lit(": "), detail), F.lit("")))
     return F.when((part | copy | linked) & (c("link_confidence") < threshold), text)
 
@@ -99,14 +97,12 @@ def item_notes(flag_below: float = 0.80) -> dict[str, Column]:
     """
     c = F.col
     notes = join_reasons(
-        F.when(c("method") == "vision_raw", "no paper found under this box - the item is real but the crop "
-               "may be pointing at the wrong part of the photo"),
-        F.when(c("clipped_by_frame"), "runs off the edge of the photograph - reshoot to capture all of it"),
-        F.when(c("collides"), "this crop sits almost entirely inside another item's crop - "
-               "one of the two is on the wrong piece of paper"),
+        F.when(c("method") == "vision_raw", NOTES["unmatched"]),
+        F.when(c("clipped_by_frame"), NOTES["clipped"]),
+        F.when(c("collides"), NOTES["collision"]),
         link_note(flag_below),
     )
     flagged = (c("confidence") < flag_below) | c("photo_flagged") | (F.size(notes) > 0)
-    low = F.format_string(f"detection confidence %.2f below {flag_below:.2f}", c("confidence"))
-    reason = F.coalesce(F.nullif(F.array_join(notes, "; "), F.lit("")), c("photo_note"), low)
+    low = F.format_string(NOTES["confidence"], c("confidence"), F.lit(float(flag_below)))
+    reason = F.coalesce(nonempty(F.array_join(notes, "; ")), c("photo_note"), low)
     return {"notes": notes, "flagged": flagged, "reason": F.when(flagged, reason)}

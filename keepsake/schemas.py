@@ -37,6 +37,39 @@ BACKLOG_HASH_LIMIT = 400
 MONTHS = ("January", "February", "March", "April", "May", "June", "July",
           "August", "September", "October", "November", "December")
 
+# The wording of warnings about a record, in order.
+WARNINGS = {
+    "legibility": "low legibility",
+    "confidence": "low model confidence (%.2f)",
+    "inferred": "date inferred rather than printed",
+    "orientation": "may need rotating (%s)",
+    "untranscribed": "marked as text but no transcription returned",
+    "unprinted": "date claimed as printed but nothing was transcribed",
+    "unfindable": "nothing describing the picture, so it cannot be found",
+    "untitled": "no title",
+}
+
+# The wording of notes about a detected item.
+NOTES = {
+    "unmatched": "no paper found under this box - the item is real but the crop may be pointing at the wrong part of the photo",
+    "clipped": "runs off the edge of the photograph - reshoot to capture all of it",
+    "collision": "this crop sits almost entirely inside another item's crop - one of the two is on the wrong piece of paper",
+    "link": "model says this %s but is only %.0f%% sure",
+    "part_of": "belongs with another item",
+    "duplicate_of": "is a duplicate, so would not be published",
+    "related_to": "is linked to another item",
+    "confidence": "detection confidence %.2f below %.2f",
+    "photo": "low-confidence detection",
+}
+
+# The wording of hints given with an item.
+HINTS = {
+    "task": "Catalogue this item.",
+    "captured": "(The photograph of this item was taken on %s. That is when it was digitised, not when the item itself "
+                "is from - do not use it as the item's date.)",
+    "neighbours": "(It was photographed alongside %s other item%s, so related material may exist.)",
+}
+
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 QUAD = T.ArrayType(POINT)
 

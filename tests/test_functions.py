@@ -28,8 +28,8 @@ def test_text_is_stripped_before_it_is_cut(spark):
 
 
 def test_lists(spark):
-    assert values(spark, ["Harold Pratt, Eleanor Voss", "a;A ; b,,", ""], T.split_list) == [
-        ["Harold Pratt", "Eleanor Voss"], ["a", "b"], []]
+    assert values(spark, ["Ada Lowe, Ben Marsh", "a;A ; b,,", ""], T.split_list) == [
+        ["Ada Lowe", "Ben Marsh"], ["a", "b"], []]
     assert values(spark, [["Polio", "polio", "POLIO "], None, [" ", "x" * 300]], T.clean_list, "array<string>") == [
         ["Polio"], [], ["x" * 200]]
 
@@ -58,7 +58,7 @@ def test_truth_of_text(spark):
 
 
 SLUGS = [("Harold Pratt", "harold-pratt"), ("O'Brien", "obrien"), ("OBrien", "obrien"), ("o'brien", "obrien"),
-         ("  Rotary   Club  ", "rotary-club"), ("Zoë Müller", "zoe-muller"), ("St. John's", "st-johns"),
+         ("  Garden   Club  ", "garden-club"), ("Zoë Müller", "zoe-muller"), ("St. John's", "st-johns"),
          ("œuvre – vie", "uvre-vie"), ("½ price", "12-price"), ("Ａlpha №5 ﬁn", "alpha-no5-fin"), ("東京 駅", "東京-駅"), ("…", "")]
 
 
