@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from keepsake.functions.text import (
     clamp_confidence, clamp_legibility, clean_list, float_or, int_or, split_list, stripped, truthy,
@@ -14,56 +12,29 @@ from keepsake.functions.text import (
 FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 
 
-@F.pandas_udf(StringType())
-def brace_span(replies: pd.Series) -> pd.Series:
-    """First brace-balanced span; braces inside strings do not count."""
-
-    def span(text: str | None) -> str | None:
-        start = text.find("{") if text else -1
-        if start < 0:
-            return None
-        depth, quoted, skip = 0, False, False
-        for at in range(start, len(text)):
-            c = text[at]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
-                if depth == 0:
-                    return text[start:at + 1]
-        return None
-
-    return replies.map(span)
-
-
 def extract_json(df: DataFrame, reply: str, out: str = "data", tier: str = "tier") -> DataFrame:
-    """Parse whole replies, then fenced blocks, then the first balanced span.
+    """Parse whole replies, then fenced blocks, then the first object in the text.
 
-    The first two tiers stay in the JVM. Only replies that both miss are sent
-    to Python, and only their own text goes there. The parser reads the first
-    value and lets text follow it, so it is only tried where an object starts.
+    The parser reads one value and lets any text follow it. So it is only tried where an object
+    starts, and from the first brace on it finds the end of that object itself.
     """
     def parsed(value: Column) -> Column:
         return F.when(value.startswith("{"), F.try_parse_json(value))
 
     text = stripped(F.coalesce(F.col(reply), F.lit("")))
     fenced = stripped(F.regexp_extract(text, FENCE, 1))
+    brace = F.locate("{", text)
+    rest = F.when(brace > 0, F.substr(text, brace))
     tried = (
         df.withColumn("__whole", parsed(text))
         .withColumn("__fenced", F.when(F.col("__whole").isNull(), parsed(fenced)))
+        .withColumn("__span", F.when(F.coalesce("__whole", "__fenced").isNull(), parsed(rest)))
     )
-    found = F.coalesce("__whole", "__fenced")
-    residue = F.when(found.isNull(), text)
-    scanned = tried.withColumn("__span", brace_span(residue))
-    return scanned.select(
+    return tried.select(
         *df.columns,
-        F.coalesce(found, F.try_parse_json("__span")).alias(out),
+        F.coalesce("__whole", "__fenced", "__span").alias(out),
         F.when(F.col("__whole").isNotNull(), "whole").when(F.col("__fenced").isNotNull(), "fenced")
-        .when(F.try_parse_json("__span").isNotNull(), "span").otherwise("none").alias(tier),
+        .when(F.col("__span").isNotNull(), "span").otherwise("none").alias(tier),
     )
 
 

@@ -77,8 +77,8 @@ def drop_duplicates(records: DataFrame) -> DataFrame:
 def roles(records: DataFrame, buckets: Sequence[Column], chains: bool = True) -> DataFrame:
     """What becomes of each record: (id, parent_id, page_no), dropped duplicates left out.
 
-    An entry has no parent and page 0. Only ids, pointers and dates are moved about here, and
-    the outcome is written down, so that texts are read just once for each use of it.
+    An entry has no parent and page 0. Only ids, pointers and dates are moved about here, and what
+    was found out is written down, so that texts are read just once for each use of it.
     """
     bones = records.select("id", "duplicate_of", "part_of", "date_value")
     bones = cut(flatten_pointers(bones, "duplicate_of") if chains else bones)
@@ -90,7 +90,7 @@ def roles(records: DataFrame, buckets: Sequence[Column], chains: bool = True) ->
         "id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("page_no"))
     children = marked.where("is_page").withColumn("parent_id", F.col("part_of"))
     pages = numbered(children, ["parent_id"], chronological(), buckets, "page_no")
-    return cut(entries.unionByName(pages.select("id", "parent_id", "page_no")))
+    return entries.unionByName(pages.select("id", "parent_id", "page_no"))
 
 
 def fold(records: DataFrame, buckets: Sequence[Column], chains: bool = True) -> Folded:

@@ -23,9 +23,10 @@ def _by_size(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFra
     if not keys:
         return None, df
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = cut(sizes.where(F.col("__n") > hot_rows).select(*keys))
-    if hot.isEmpty():
+    largest = sizes.agg(F.max("__n")).first()[0]
+    if largest is None or largest <= hot_rows:
         return df, None
+    hot = cut(sizes.where(F.col("__n") > hot_rows).select(*keys))
     return df.join(hot, [*keys], "left_anti"), df.join(hot, [*keys], "left_semi")
 
 

@@ -37,7 +37,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 @pytest.mark.parametrize("name", ["catalogue", "timeline", "entity_index", "review_decisions", "title_slugs", "colliding_boxes",
                                   "merged_candidates", "reading_order", "top_related_items", "ledger_intake", "snapshot_diff"])
-def test_no_pairing_of_everything_and_python_only_for_brace_spans(spark, name):
+def test_no_pairing_of_everything_and_no_python(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert ("ArrowEvalPython" in text) == (name == "review_decisions")
+    assert "Python" not in text and "InPandas" not in text
