@@ -147,7 +147,7 @@ class Views:
             F.concat(F.lit("IMG_"), c("o_orderkey").cast("string"), F.lit(".jpg")).alias("original_name"),
             (1000 + c("o_custkey") % 3000).alias("width"), (800 + c("o_custkey") % 2000).alias("height"),
             F.when(c("o_orderpriority") != "5-LOW", c("o_orderdate")).alias("captured_at"),
-            F.date_add(c("o_orderdate"), 30).cast("timestamp").alias("ingested_at"),
+            F.date_add(c("o_orderdate"), 30).cast("timestamp_ntz").alias("ingested_at"),
             pick(c("o_orderstatus"), {"P": "ingested", "O": "segmented"}, "rectified").alias("status"),
             F.when(c("o_totalprice") > 400000, "single item filling the frame").alias("segment_note"),
         )
@@ -420,7 +420,7 @@ remote_files AS (SELECT 'pages/' || page_id || '.html' AS path, length(h) AS siz
    WHERE NOT contains(html, 'lang="fr"'))
  UNION ALL SELECT 'notes/' || item_id || '.txt', length(text), sha256(text) FROM benchmark)"""
 DERIVATIVES = """
-derivatives AS (SELECT printf('%010d', doc_id) AS item_id, e AS long_edge,
+derivatives AS (SELECT printf('%010d', doc_id) AS item_id, CAST(e AS BIGINT) AS long_edge,
  'media/' || printf('%010d', doc_id) || '-' || e || '.webp' AS path, n_chars + e AS bytes
  FROM documents, (VALUES (320, 0), (800, 200), (1600, 2000)) AS s(e, least_chars) WHERE n_chars >= least_chars)"""
 TURNS = """

@@ -248,8 +248,8 @@ def region_rows(v: Views) -> DataFrame:
 
 
 @query("parsed_regions", f"""WITH {REGIONS} SELECT photo, pos, kind, medium, usable, CASE WHEN usable THEN round(cx0 * width / 1000.0, 3) END AS x0,
- CASE WHEN usable THEN round(least(height - 1, cy1 * height / 1000.0), 3) END AS y1, linestatus = 'F' AS clipped, 1 AS panels,
- CAST(part_of AS BIGINT) AS part_of, CASE WHEN len(related) > 0 THEN '0,2,7' ELSE '' END AS related, link_confidence, 0.9 AS confidence FROM regions""")
+ CASE WHEN usable THEN round(least(height - 1, cy1 * height / 1000.0), 3) END AS y1, linestatus = 'F' AS clipped, CAST(1 AS BIGINT) AS panels,
+ CAST(part_of AS BIGINT) AS part_of, CASE WHEN len(related) > 0 THEN '0,2,7' ELSE '' END AS related, link_confidence, CAST(0.9 AS DOUBLE) AS confidence FROM regions""")
 def parsed_regions(v: Views) -> DataFrame:
     p = R.parse_regions(region_rows(v))
     return p.select("photo", F.col("pos").cast("long").alias("pos"), "kind", "medium", F.col("box").isNotNull().alias("usable"),
