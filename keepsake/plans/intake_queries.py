@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.files import media_type, safe_name
 from keepsake.operators import ledger as L
-from keepsake.plans.bindings import PHOTOS, RECORDS, Views, by_range, pick
+from keepsake.plans.bindings import PHOTOS, RECORDS, Views, by_range
 from keepsake.plans.registry import query
 from keepsake.sources.files import captured_at, is_photo, kept_tags
 
