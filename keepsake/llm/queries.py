@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import simhash, substrings
+from keepsake.llm import decontaminate, html_text, language, mixing, secret_scan, simhash, substrings, token_counts, topk, toxicity
 from keepsake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,87 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its fingerprint and the smallest id that links of two bits reach."""
     return simhash.near_copies(table(spark, folder, "documents"))
+
+
+@_query()
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document and benchmark item that it holds, with the edits between them."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@_query()
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its source's target and the words that the mix takes of it."""
+    out = mixing.mix(table(spark, folder, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+
+
+@_query()
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the language of most of its letters."""
+    return language.predicted(table(spark, folder, "documents"))
+
+
+@_query()
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens, before and after its repeated lines are edited out."""
+    out = token_counts.counted(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded_again")
+
+
+@_query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""")
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five vectors of highest inner product for each query."""
+    return topk.nearest(table(spark, folder, "embeddings"))
+
+
+def _secrets_sql() -> str:
+    """Matches and the texts between them, lined up and summed to places; pieces of one text are numbered from 1."""
+    parts = []
+    for rank, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""
+SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, i, len(gaps[i]) AS gap, len(whole[i]) AS size, len(kept[i]) AS kept, {r.least} AS least
+FROM (SELECT doc_id, gaps, whole, kept, unnest(range(1, len(whole) + 1)) AS i FROM (
+    SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS whole,
+           regexp_extract_all(text, '{pattern}', {r.group}) AS kept
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE regexp_matches(text, '{pattern}')))""")
+    return f"""
+WITH m AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+p AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM m),
+s AS (SELECT doc_id, rank, kind, CAST(stop - size AS BIGINT) AS a, CAST(stop AS BIGINT) AS z FROM p WHERE kept >= least),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS x, count(*) FILTER (rank = 1) AS y, count(*) FILTER (rank = 2) AS h,
+        string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (rank < 3) AS base,
+        string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(x, 0) AS BIGINT) AS n_assign, CAST(coalesce(y, 0) AS BIGINT) AS n_access, CAST(coalesce(h, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+@_query(_secrets_sql())
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its secrets: those of the base rules counted and hashed, and all listed."""
+    out = secret_scan.scan(table(spark, folder, "documents"))
+    base = F.filter("found", lambda s: s["rank"] < len(secret_scan.BASE))
+    number = (lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}"))
+    return out.select("doc_id", *[number(r.kind) for r in secret_scan.BASE],
+                      F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("found")).alias("spans"))
+
+
+@_query()
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text and its length."""
+    out = html_text.main_text(table(spark, folder, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query()
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's score for toxicity."""
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
