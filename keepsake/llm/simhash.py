@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import components, pick
@@ -98,25 +98,31 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(words) <= size:
-        shingles: Iterator[bytes] = iter((b" ".join(words),))
-    else:
-        shingles = words if size == 1 else map(b" ".join, zip(*(words[i:] for i in range(size))))
+    shingles = (b" ".join(words),) if len(words) <= size else map(b" ".join, zip(*(words[i:] for i in range(size))))
     digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """The rows of ``docs`` (row, mark, text) as (row, mark, one long per entry of ``sizes``: words in a shingle)."""
-    schema = pa.schema([("row", pa.int64()), ("mark", pa.int64())] + [(n, pa.int64()) for n in sizes])
+def word_hashes(text: str | None, seed: int) -> np.ndarray:
+    """XXH64 of each different word."""
+    words = set(text.encode("utf-8", "surrogatepass").lower().split()) if text else ()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, seed) for w in words), dtype=np.uint64)
+
+
+def fingerprints(docs: DataFrame, sizes: dict[str, int], seeds: dict[str, int] | None = None) -> DataFrame:
+    """The rows of ``docs`` (row, mark, text) as (row, mark, one long per entry): over ``sizes`` words each, or over different words with a seed."""
+    seeds = seeds or {}
+    schema = pa.schema([("row", pa.int64()), ("mark", pa.int64())] + [(n, pa.int64()) for n in (*sizes, *seeds)])
 
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            made = [np.array([majority(shingle_hashes(t, k)) for t in texts], dtype=np.uint64).view(np.int64) for k in sizes.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(m) for m in made]], schema=schema)
+            made = [[majority(shingle_hashes(t, k)) for t in texts] for k in sizes.values()] + [[majority(word_hashes(t, k)) for t in texts] for k in seeds.values()]
+            columns = [pa.array(np.array(m, dtype=np.uint64).view(np.int64)) for m in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=schema)
 
-    return docs.select("row", "mark", "text").mapInArrow(run, "row long, mark long, " + ", ".join(f"{n} long" for n in sizes))
+    return docs.select("row", "mark", "text").mapInArrow(run, "row long, mark long, " + ", ".join(f"{n} long" for n in (*sizes, *seeds)))
 
 
 def _trees(prints: np.ndarray, proofs: np.ndarray, within: int, proof_within: int) -> list[tuple[int, int]]:
@@ -229,44 +235,50 @@ def links(nodes: DataFrame, within: int, proof_within: int = BITS) -> DataFrame:
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a string, b string").distinct()
 
 
-def grouped(docs: DataFrame, shingle: int, within: int, proof_shingle: int | None = None, proof_within: int = BITS) -> DataFrame:
-    """Each row's fingerprint and group: (row, mark, print, root, least), least being the smallest row id of the group.
+def _hex(column: str) -> Column:
+    return F.lpad(F.lower(F.hex(column)), 16, "0")
 
-    ``docs`` has (row long, mark long, text string); ``mark`` is handed through. Null and empty texts have fingerprint zero and link like any
-    other; rows with the same id or text are kept as they are; a null id stays null, and ``least`` is null only for a group of null ids.
-    With ``proof_shingle``, linked fingerprints must also differ in at most ``proof_within`` bits of a second fingerprint over that many words.
-    """
-    sizes = {"print": shingle} | ({"proof": proof_shingle} if proof_shingle else {})
-    made = fingerprints(docs, sizes)
-    made = cut(made if proof_shingle else made.withColumn("proof", F.lit(0).cast("long")))
-    nodes = cut(made.groupBy("print", "proof").agg(F.min("row").alias("first")))
-    name = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("print", "proof")])
-    roots = components(links(nodes, within, proof_within))
-    named = cut(nodes.withColumn("node", name).join(roots, "node", "left")
-                .select("print", "proof", F.coalesce("root", "node").alias("root"), "first"))
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    labels = named.join(least, "root").select("print", "proof", "root", "least")
-    return made.join(labels, ["print", "proof"]).select(
-        "row", "mark", F.lpad(F.lower(F.hex("print")), 16, "0").alias("print"), "root", "least")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id by three-word shingles and two bits; null, empty and repeated rows as in ``grouped``."""
-    rows = pick(docs, row=F.col(id_col).cast("long"), mark=F.lit(0).cast("long"), text=text_col)
-    return grouped(rows, 3, 2).select(
-        F.col("row").alias("doc_id"), F.col("print").alias("fingerprint"), F.col("least").alias("component_id"))
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, within: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row: fingerprints link at ``within`` bits or fewer, a component is named by its smallest id.
 
-def keep_first(docs: DataFrame, shingle: int = 5, proof_within: int = 15, within: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Null and empty texts have fingerprint zero and link like any other; rows with the same id or text are kept as they are; a null id
+    stays null, and ``component_id`` is null only for a component of null ids.
+    """
+    rows = pick(docs, row=F.col(id_col).cast("long"), mark=F.lit(0).cast("long"), text=text_col)
+    made = cut(fingerprints(rows, {"print": shingle}))
+    nodes = cut(made.groupBy("print").agg(F.min("row").alias("first")).withColumn("proof", F.lit(0).cast("long")))
+    roots = components(links(nodes, within))
+    named = cut(nodes.withColumn("node", F.concat(_hex("print"), _hex("proof"))).join(roots, "node", "left")
+                .select("print", F.coalesce("root", "node").alias("root"), "first"))
+    labels = named.join(named.groupBy("root").agg(F.min("first").alias("least")), "root").select("print", "least")
+    return made.join(labels, "print").select(
+        F.col("row").alias("doc_id"), _hex("print").alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, proof_within: int = 15, within: int = 4, seeds: tuple[int, ...] = (42, 43),
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of one row of each group of near copies: that of the smallest id, null ids last.
 
-    Candidates are rows whose fingerprints over single words differ in ``within`` bits or fewer; they are copies if their fingerprints over
-    ``shingle`` words differ in at most ``proof_within`` bits. Texts that share 0.8 of their shingles differ in 10 of 64 bits on average, and 15 is two
-    deviations of that estimate above it. Of rows with the same id the one with the smallest hash stays; a repeated row stays once.
-    Empty and null texts are one group. Extra columns are returned untouched, whatever their names.
+    Candidates are rows that differ in ``within`` bits or fewer in one of their fingerprints over different words (one for each seed); they
+    are copies if their fingerprints over ``shingle`` words differ in at most ``proof_within`` bits. Texts that share 0.8 of their shingles differ in 10 of 64
+    bits on average, and 15 is two deviations of that estimate above it. Of rows with the same id the one with the smallest hash stays; a
+    repeated row stays once. Empty and null texts are one group. Extra columns are returned untouched, whatever their names.
     """
     ids, marks = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    groups = grouped(pick(docs, row=ids, mark=marks, text=text_col), 1, within, shingle, proof_within)
+    prints = {f"print{i}": seed for i, seed in enumerate(seeds)}
+    made = cut(fingerprints(pick(docs, row=ids, mark=marks, text=text_col), {"proof": shingle}, prints))
+    nodes = cut(made.select("proof", *prints).distinct())
+    name = {p: F.concat(F.lit(p), _hex(p), _hex("proof")) for p in prints}
+    found = nodes.select(name["print0"].alias("a"), name["print0"].alias("b")).where("false")
+    for p in prints:
+        near = links(nodes.select(F.col(p).alias("print"), "proof").distinct(), within, proof_within)
+        found = found.union(near.select(F.concat(F.lit(p), "a"), F.concat(F.lit(p), "b")))
+        if p != "print0":
+            found = found.union(nodes.select(name["print0"], name[p]))
+    roots = components(cut(found))
+    labels = nodes.withColumn("node", name["print0"]).join(roots, "node", "left").select("proof", *prints, F.coalesce("root", "node").alias("root"))
+    groups = made.join(labels, ["proof", *prints]).select("row", "mark", "root")
     first = Window.partitionBy("root").orderBy(F.col("row").asc_nulls_last(), "mark")
     keep = groups.select("root", "row", "mark", F.row_number().over(first).alias("n")).where("n = 1")
     keep = keep.select(F.col("row").isNull().alias("k0"), F.coalesce("row", F.lit(0)).alias("k1"), F.col("mark").alias("k2"))
