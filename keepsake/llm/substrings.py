@@ -228,11 +228,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     answers = _arrow_schema(answer)
     small = (texts.where(F.col("kinds") <= CROWD).select(*key, "first", "words").repartition("anchor").sortWithinPartitions("anchor", "first")
              .mapInArrow(lambda b: _shards(b, length, answers), answer))
-    large = texts.where(F.col("kinds") > CROWD).select(
-        *key, "first", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - length),
+    large = texts.where(F.col("kinds") > CROWD).join(known.select(*key, "last"), key).select(
+        *key, "first", "last", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - length),
                                                 lambda i: F.md5(F.slice("words", i + 1, length).cast("string").cast("binary")))).alias("at", "window"))
-    earliest = large.groupBy("window").agg(F.min("first").alias("first"))
-    large = (large.drop("first").join(earliest, "window").groupBy(*key)
+    # A window that one document alone holds repeats nothing, and need not meet itself again.
+    earliest = large.groupBy("window").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").drop("last")
+    large = (large.drop("first", "last").join(earliest, "window").groupBy(*key)
              .agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "first")).alias("runs")))
     runs = cut(plain.unionByName(small).unionByName(large))
     hit = found.select("row", *key, F.col("at").alias("start")).join(runs, key)
