@@ -13,8 +13,10 @@ Training takes a bounded sample of labelled rows, ``SAMPLE`` by hash of the id (
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -147,13 +149,14 @@ class Scorer:
 
 
 def _bags(rows: DataFrame) -> DataFrame:
-    """(row, toxic, units, mark); ``mark`` is the same for most near copies: the smallest hashes of three long units."""
+    """(row, toxic, units, mark); ``mark`` is the same for most near copies: the three smallest hashes of pairs of words."""
     schema = pa.schema([("row", pa.int64()), ("toxic", pa.int32()), ("units", pa.list_(pa.string())), ("mark", pa.string())])
 
     def run(batches):
         for batch in batches:
-            texts = [sorted(units(t)) for t in batch.column(2).to_pylist()]
-            marks = [",".join(sorted(xxhash.xxh64_hexdigest(u) for u in t if len(u) > 5)[:3]) or None for t in texts]
+            plain = batch.column(2).to_pylist()
+            texts = [sorted(units(t)) for t in plain]
+            marks = [",".join(heapq.nsmallest(3, {xxhash.xxh64_hexdigest(f"{a} {b}") for a, b in pairwise((t or "").split())})) for t in plain]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, schema.types[2]), pa.array(marks, pa.string())], schema=schema)
 
