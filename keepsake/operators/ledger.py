@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.files import safe_name, stem, suffix
 from keepsake.operators.scale import numbered
-from keepsake.schemas import BACKLOG_HASH_LIMIT, LOW_RESOLUTION_MP
+from keepsake.schemas import LOW_RESOLUTION_MP
 from keepsake.session import cut
 
 
@@ -69,27 +69,15 @@ def intake_report(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def backlog(inbox: DataFrame, ledger: DataFrame, folder: str, content: str,
-            hash_limit: int = BACKLOG_HASH_LIMIT) -> DataFrame:
-    """Per folder: files present, files waiting, and whether that count is exact.
+def backlog(inbox: DataFrame, ledger: DataFrame, folder: str, content: str) -> DataFrame:
+    """Per folder: files present, and files waiting, whose content the ledger doesn't have.
 
-    Contents are only hashed in folders small enough; beyond that every file counts as
-    waiting. Two copies of one new file count as two.
+    Two copies of one new file count as two.
     """
-    present = inbox.groupBy(folder).agg(F.count(F.lit(1)).alias("present"))
-    small = present.where(F.col("present") <= hash_limit).select(folder)
-    waiting = (
-        inbox.join(small, folder, "left_semi")
-        .select(folder, content_hash(F.col(content)).alias("hash"))
-        .join(ledger.select("hash").distinct(), "hash", "left_anti")
-        .groupBy(folder).agg(F.count(F.lit(1)).alias("__waiting"))
-    )
-    exact = F.col("present") <= hash_limit
-    return present.join(waiting, folder, "left").select(
-        folder, "present",
-        F.when(exact, F.coalesce("__waiting", F.lit(0))).otherwise(F.col("present")).alias("waiting"),
-        exact.alias("exact"),
-    )
+    hashed = inbox.select(folder, content_hash(F.col(content)).alias("hash"))
+    known = ledger.select("hash").distinct().withColumn("__known", F.lit(True))
+    return hashed.join(known, "hash", "left").groupBy(folder).agg(
+        F.count(F.lit(1)).alias("present"), F.count_if(F.col("__known").isNull()).alias("waiting"))
 
 
 def landing_names(uploads: DataFrame, raw: str, arrival: str, buckets: Sequence[Column]) -> DataFrame:
@@ -125,9 +113,9 @@ def landing_names(uploads: DataFrame, raw: str, arrival: str, buckets: Sequence[
 
 
 def exact_duplicates(items: DataFrame, key: str, hashed: str, out: str = "duplicate_of") -> DataFrame:
-    """Point every later copy of a content at its smallest id."""
+    """Point every later copy of a content at its smallest id; rows without a content stay, as copies of nothing."""
     first = items.groupBy(hashed).agg(F.min(key).alias("__first"))
-    return items.join(first, hashed).select(
+    return items.join(first, hashed, "left").select(
         *items.columns, F.when(F.col("__first") != F.col(key), F.col("__first")).alias(out))
 
 

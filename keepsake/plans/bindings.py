@@ -21,7 +21,9 @@ NAME_WORD = r"\p{Lu}\p{Ll}{7,}"
 
 
 def ten_digits(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 10, "0")
+    """At least ten digits; longer numbers stay whole, so ids never merge."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) > 10, digits).otherwise(F.lpad(digits, 10, "0"))
 
 
 def by_digits(column: str) -> list[Column]:

@@ -81,8 +81,7 @@ def low_resolution(v: Views) -> DataFrame:
 
 @query("inbox_backlog", """WITH ledger AS (SELECT DISTINCT sha256(text) AS hash FROM documents JOIN labels USING (doc_id)),
  f AS (SELECT source || '/' || lang AS folder, sha256(text) AS hash FROM documents)
- SELECT folder, count(*) AS present, CASE WHEN count(*) > 400 THEN count(*)
-  ELSE count(*) FILTER (hash NOT IN (SELECT hash FROM ledger)) END AS waiting, count(*) <= 400 AS exact
+ SELECT folder, count(*) AS present, count(*) FILTER (hash NOT IN (SELECT hash FROM ledger)) AS waiting
  FROM f GROUP BY folder""")
 def inbox_backlog(v: Views) -> DataFrame:
     inbox = v.t("documents").select(F.concat_ws("/", "source", "lang").alias("folder"), "text")
@@ -91,8 +90,7 @@ def inbox_backlog(v: Views) -> DataFrame:
 
 @query("inbox_backlog_by_language", """WITH ledger AS (SELECT DISTINCT sha256(text) AS hash FROM documents JOIN labels USING (doc_id)),
  f AS (SELECT lang AS folder, sha256(text) AS hash FROM documents)
- SELECT folder, count(*) AS present, CASE WHEN count(*) > 400 THEN count(*)
-  ELSE count(*) FILTER (hash NOT IN (SELECT hash FROM ledger)) END AS waiting, count(*) <= 400 AS exact
+ SELECT folder, count(*) AS present, count(*) FILTER (hash NOT IN (SELECT hash FROM ledger)) AS waiting
  FROM f GROUP BY folder""")
 def inbox_backlog_by_language(v: Views) -> DataFrame:
     inbox = v.t("documents").select(F.col("lang").alias("folder"), "text")

@@ -33,7 +33,6 @@ MEDIA_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png",
                ".webp": "image/webp", ".gif": "image/gif", ".tif": "image/tiff",
                ".tiff": "image/tiff", ".heic": "image/heic", ".heif": "image/heif"}
 LOW_RESOLUTION_MP = 4.0
-BACKLOG_HASH_LIMIT = 400
 MONTHS = ("January", "February", "March", "April", "May", "June", "July",
           "August", "September", "October", "November", "December")
 

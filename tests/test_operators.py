@@ -368,8 +368,20 @@ def test_intake_is_idempotent(spark):
 def test_backlog(spark):
     inbox = spark.createDataFrame([("f", "old"), ("f", "new"), ("f", "new"), ("g", "x"), ("g", "y"), ("g", "z"), ("g", "w")], "folder string, content string")
     ledger = spark.createDataFrame([("old",)], "c string").select(L.content_hash(F.col("c")).alias("hash"))
-    got = {r.folder: (r.present, r.waiting, r.exact) for r in L.backlog(inbox, ledger, "folder", "content", hash_limit=3).collect()}
-    assert got == {"f": (3, 2, True), "g": (4, 4, False)}
+    got = {r.folder: (r.present, r.waiting) for r in L.backlog(inbox, ledger, "folder", "content").collect()}
+    assert got == {"f": (3, 2), "g": (4, 4)}
+
+
+def test_rows_without_content_are_no_copies(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None), ("d", None)], "id string, hash string")
+    assert {r.id: r.duplicate_of for r in L.exact_duplicates(rows, "id", "hash").collect()} == {"a": None, "b": "a", "c": None, "d": None}
+
+
+def test_long_ids_stay_apart(spark):
+    from keepsake.plans.bindings import ten_digits
+
+    made = spark.createDataFrame([(7,), (12345678901,), (12345678902,)], "n long").select(ten_digits(F.col("n")).alias("id")).collect()
+    assert [r.id for r in made] == ["0000000007", "12345678901", "12345678902"]
 
 
 def test_landing_names_never_clash(spark):
