@@ -1,12 +1,14 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks.
 
-A text is scored by its worst unit. Units are its words in lower case without what isn't a letter ("i.d.i.o.t"), and runs
+A text is scored by its worst units, and by how many it has to choose among. Units are its words in lower case without what isn't a letter ("i.d.i.o.t"), and runs
 of single letters joined ("i d i o t"). The kernel of two units counts their common subsequences of three letters, each weighted by
 ``DECAY`` to the power of the letters it spans in either, up to ``SPAN``; so units that differ by gaps and inserted
 letters stay similar. Labels are given for texts, so the units that make a text toxic are found first: those that cover the toxic training
 texts and hardly occur in others. They and copies with a letter put in or left out are the positive examples, units of
 texts that aren't toxic the negative ones, the most similar among them. The machine's weights over
 landmarks are multiplied out into weights of subsequences, which score any unit exactly as the kernel expansion would.
+The twelve worst decisions of a text, set against its number of units (a long text has many chances to hold a harmless word that looks
+like an insult), become a probability by a logistic fit. That fit sees each half of the training texts through a machine trained on the other half.
 
 Training takes a bounded sample of labelled rows, ``SAMPLE`` by hash of the id (all if there are fewer); scoring takes every text whole.
 """
@@ -19,9 +21,10 @@ from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import pick, remainder
@@ -35,6 +38,7 @@ POSITIVE = 200
 NEGATIVE = 1000
 LANDMARKS = 300
 THRESHOLD = 0.3
+EVIDENCE = 7
 _CACHE = 1 << 19
 _SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S))+")
 
@@ -97,13 +101,12 @@ def gram(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights of subsequences over a small alphabet, the bias, and the slope and offset that turn a decision into a probability."""
+    """Weights of subsequences over a small alphabet, the bias, and the logistic weights of a text's evidence, the constant last."""
 
     letters: str
     weights: np.ndarray
     bias: float
-    slope: float = 0.0
-    offset: float = -20.0
+    logistic: np.ndarray
 
     def decide(self, words: list[str]) -> np.ndarray:
         if not words or not len(self.weights):
@@ -129,23 +132,34 @@ class Model:
                 out[start + positive] += raw[positive] / np.maximum(norms([part[k] for k in positive]), 1e-12)
         return out
 
-    def probability(self, decision: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -50, 50))))
+    def probabilities(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.logistic, -50, 50)))
 
 
 class Scorer:
-    """Worst decision of a text's units, with the decisions of units met before."""
+    """Evidence and probability of texts, with the decisions of units met before."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
 
-    def worst(self, bags: list[set[str] | list[str]]) -> list[float]:
+    def evidence(self, bags: list[set[str] | list[str]]) -> np.ndarray:
+        """One row per text: its three worst decisions, the means of the next three and six, the worst times the logarithm of
+        the number of units, and 1. Decisions run from 0 (surely harmless) to 1; 0 where there are fewer units."""
         if len(self.known) > _CACHE:
             self.known = {}
         known = self.known
         new = list({u for bag in bags for u in bag if u not in known})
         known.update(zip(new, self.model.decide(new).tolist()))
-        return [max((known[u] for u in bag), default=self.model.bias) for bag in bags]
+        out = np.zeros((len(bags), EVIDENCE))
+        for row, bag in zip(out, bags):
+            worst = np.zeros(12)
+            top = heapq.nlargest(12, [known[u] for u in bag])
+            worst[:len(top)] = (np.clip(top, -1, 1) + 1) / 2
+            row[:] = (*worst[:3], worst[3:6].mean(), worst[6:].mean(), worst[0] * np.log1p(len(bag)), 1)
+        return out
+
+    def probabilities(self, bags: list[set[str] | list[str]]) -> list[float]:
+        return self.model.probabilities(self.evidence(bags)).tolist()
 
 
 def _bags(rows: DataFrame) -> DataFrame:
@@ -209,20 +223,31 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray,
     return w[:-1], float(w[-1])
 
 
-def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and offset of a logistic fit with a weak prior."""
-    slope, offset = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(slope * f + offset, -30, 30)))
-        g = np.array([((p - y) * f).sum() + 0.01 * slope, (p - y).sum() + 0.001 * offset])
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic fit with a weak prior to ``Scorer.evidence``: no decision may speak for a text and no length against it,
+    so weights of the wrong sign are left out."""
+    sign = np.r_[np.ones(EVIDENCE - 2), -1, 0]
+    used = np.ones(EVIDENCE, dtype=bool)
+    while True:
+        w = np.zeros(EVIDENCE)
+        w[used] = _newton(x[:, used], y)
+        if not (w * sign < 0).any():
+            return w
+        used &= w * sign >= 0
+
+
+def _newton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    w = np.zeros(x.shape[1])
+    prior = np.r_[np.full(len(w) - 1, 0.1), 0.001]
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(s * f * f).sum() + 0.01, (s * f).sum()], [(s * f).sum(), s.sum() + 0.001]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-        slope, offset = max(slope - step[0], 0.0), offset - step[1]
+        step = np.linalg.solve((x * s[:, None]).T @ x + np.diag(prior), x.T @ (p - y) + prior * w)
+        step *= min(1.0, 3.0 / max(np.abs(step).max(), 1e-12))
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(slope), float(offset)
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
@@ -237,16 +262,48 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     bags = cut(_bags(docs.where(learn & share).join(ids.where(share).distinct(), "row")))
     # Copies of one toxic text would make all of its words look toxic: they count once.
     apart = cut(bags.dropDuplicates(["toxic", "mark"]).select("row", "toxic", "units"))
-    totals = apart.agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).first()
-    bad, good = totals.bad or 0, totals.good or 0
+    half = F.pmod(F.xxhash64("row", F.lit("half")), F.lit(2))
+    model = _machine(apart)
+    halves = [_machine(apart.where(half != side)) for side in (0, 1)]
+    if model is None:
+        totals = _totals(apart)
+        rate = totals.bad / max(totals.bad + totals.good, 1)
+        return Model("", np.zeros(0), 0.0, np.r_[np.zeros(EVIDENCE - 1), np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))])
+    # Too few texts for halves: the fit sees the texts through the machine trained on them.
+    views = [(apart, model)] if None in halves else [(apart.where(half == side), m) for side, m in enumerate(halves)]
+    seen = pd.concat([_evidence(rows, m).toPandas() for rows, m in views]).sort_values("row")
+    model.logistic = _logistic(np.stack(seen["evidence"].to_numpy()), seen["toxic"].to_numpy().astype(float))
+    return model
+
+
+def _evidence(bags: DataFrame, model: Model) -> DataFrame:
+    """(row, toxic, evidence) of ``bags`` (row, toxic, units)."""
+    schema = pa.schema([("row", pa.int64()), ("toxic", pa.int32()), ("evidence", pa.list_(pa.float64()))])
+
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            found = scorer.evidence(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(found), schema.types[2])], schema=schema)
+
+    return bags.select("row", "toxic", "units").mapInArrow(run, "row long, toxic int, evidence array<double>")
+
+
+def _totals(apart: DataFrame) -> Row:
+    return apart.agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).first()
+
+
+def _machine(apart: DataFrame) -> Model | None:
+    """The support vector machine of ``apart`` (row, toxic, units); None without toxic or other texts or units that tell them apart."""
+    totals = _totals(apart)
+    bad, good = totals.bad, totals.good
     if not bad or not good:
-        rate = bad / max(bad + good, 1)
-        return Model("", np.zeros(0), 0.0, 0.0, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))))
+        return None
     counts = cut(apart.select("toxic", F.explode("units").alias("unit")).groupBy("unit").agg(
         F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")))
     positive = _witnesses(apart, counts, bad, good)
     if not positive:
-        return Model("", np.zeros(0), 0.0, 0.0, float(np.log(bad / good)))
+        return None
 
     def similar(batches):
         for batch in batches:
@@ -268,16 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     root = vectors[:, keep] / np.sqrt(values[keep])
     words = augmented + negative
     w, bias = _svm(gram(words, landmarks) @ root, np.r_[np.ones(len(augmented)), -np.ones(len(negative))])
-    model = _multiplied(landmarks, root @ w, bias)
-
-    def worst(batches):
-        scorer = Scorer(model)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.worst(batch.column(1).to_pylist()))], names=["toxic", "f"])
-
-    seen = bags.select("toxic", "units").mapInArrow(worst, "toxic int, f double").toPandas()
-    model.slope, model.offset = _logistic(seen["f"].to_numpy(), seen["toxic"].to_numpy().astype(float))
-    return model
+    return _multiplied(landmarks, root @ w, bias)
 
 
 def _multiplied(landmarks: list[str], alpha: np.ndarray, bias: float) -> Model:
@@ -287,11 +335,11 @@ def _multiplied(landmarks: list[str], alpha: np.ndarray, bias: float) -> Model:
     who, what, weight = subsequences(landmarks)
     value = weight * (alpha / np.maximum(norms(landmarks), 1e-12))[who]
     a, b, c = (np.array([place[chr(x)] for x in ((what >> s) & 0x1FFFFF).tolist()], dtype=np.int64) for s in (42, 21, 0))
-    return Model(letters, np.bincount((a * size + b) * size + c, value, minlength=size ** 3), bias)
+    return Model(letters, np.bincount((a * size + b) * size + c, value, minlength=size ** 3), bias, np.zeros(EVIDENCE))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, score) of ``docs`` (row, text); texts without a unit get the score of the bias."""
+    """(row, score) of ``docs`` (row, text); texts without a unit get the score of no evidence."""
     schema = pa.schema([("row", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
@@ -299,8 +347,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             rows, texts = batch.column(0), batch.column(1).to_pylist()
             for at in range(0, len(texts), 500):
-                worst = scorer.worst([units(t) for t in texts[at:at + 500]])
-                yield pa.RecordBatch.from_arrays([rows.slice(at, 500), pa.array([model.probability(f) for f in worst])], schema=schema)
+                made = scorer.probabilities([units(t) for t in texts[at:at + 500]])
+                yield pa.RecordBatch.from_arrays([rows.slice(at, 500), pa.array(made, pa.float64())], schema=schema)
 
     return docs.select("row", "text").mapInArrow(run, "row long, score double")
 
@@ -330,7 +378,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         scorer = Scorer(model)
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            kept = [model.probability(f) < THRESHOLD for at in range(0, len(texts), 500) for f in scorer.worst([units(t) for t in texts[at:at + 500]])]
+            kept = [p < THRESHOLD for at in range(0, len(texts), 500) for p in scorer.probabilities([units(t) for t in texts[at:at + 500]])]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
