@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,30 @@ from keepsake.functions.text import (
 )
 
 FENCE = r"(?s)```(?:json)?\s*(.*?)```"
+BARE_NUMBER = r"([:,\[]\s*)(NaN|-?Infinity)(?=\s*[,}\]])"
 
 
 def extract_json(df: DataFrame, reply: str, out: str = "data", tier: str = "tier") -> DataFrame:
     """Parse whole replies, then fenced blocks, then the first object in the text.
 
-    The parser reads one value and lets any text follow it. So it is only tried where an object
-    starts, and from the first brace on it finds the end of that object itself.
+    The parser reads one value and lets any text follow it. So a whole reply or block counts only if it is still one value inside
+    brackets and inside an object; from the first brace on, the parser finds the end of the object itself. Of a repeated key
+    the last one counts, which a setting of the session allows. NaN and Infinity, which JSON doesn't have, are read as text of that name where nothing else parses.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+    def one(value: Column) -> Column:
+        listed = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+        boxed = F.try_parse_json(F.concat(F.lit('{"v":'), value, F.lit("}")))
+        alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & boxed.isNotNull()
+        return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+    def either(read: Callable[[Column], Column], value: Column) -> Column:
+        plain = F.regexp_replace(value, BARE_NUMBER, '$1"$2"')
+        return F.when(value.startswith("{"), F.coalesce(read(value), F.when(plain != value, read(plain))))
+
     def parsed(value: Column) -> Column:
-        return F.when(value.startswith("{"), F.try_parse_json(value))
+        return either(one, value)
 
     text = stripped(F.coalesce(F.col(reply), F.lit("")))
     fenced = stripped(F.regexp_extract(text, FENCE, 1))
@@ -28,7 +44,7 @@ def extract_json(df: DataFrame, reply: str, out: str = "data", tier: str = "tier
     tried = (
         df.withColumn("__whole", parsed(text))
         .withColumn("__fenced", F.when(F.col("__whole").isNull(), parsed(fenced)))
-        .withColumn("__span", F.when(F.coalesce("__whole", "__fenced").isNull(), parsed(rest)))
+        .withColumn("__span", F.when(F.coalesce("__whole", "__fenced").isNull(), either(F.try_parse_json, rest)))
     )
     return tried.select(
         *df.columns,

@@ -9,6 +9,7 @@ per bucket carries counts or edge rows across. Results equal the plain window's.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,20 @@ def _by_size(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFra
     if largest is None or largest <= hot_rows:
         return df, None
     hot = cut(sizes.where(F.col("__n") > hot_rows).select(*keys))
-    return df.join(hot, [*keys], "left_anti"), df.join(hot, [*keys], "left_semi")
+    is_hot = _same(df, hot, keys)
+    return df.join(hot, is_hot, "left_anti"), df.join(hot, is_hot, "left_semi")
+
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    """Equal in all of the names, where null equals null."""
+    return reduce(Column.__and__, [left[n].eqNullSafe(right[n]) for n in names])
+
+
+def _meet(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join by names, where null meets null; the names come once."""
+    other = right.withColumnsRenamed({n: f"{n}__right" for n in names})
+    on = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"{n}__right")) for n in names])
+    return left.join(other, on).drop(*[f"{n}__right" for n in names])
 
 
 def _tagged(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[str]]:
@@ -37,7 +51,7 @@ def _tagged(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[s
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: Sequence[Column],
              out: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """1-based row number within the keys (keys and buckets must not be null).
+    """1-based row number within the keys. Nulls are a key or bucket of their own, which comes first.
 
     ``buckets`` go from coarse to fine, for instance a day and then ``id div 100000``. Along
     ``order`` they must never decrease, compared one after the other. Each level should
@@ -68,11 +82,11 @@ def _numbered_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
             starts = starts.select("*", start)
         else:
             upper = sizes.groupBy(*above, name).agg(F.sum("__n").alias("__n"))
-            starts = starts.join(upper.select(*above, name, start), [*above, name])
+            starts = _meet(starts, upper.select(*above, name, start), [*above, name])
         total = total + F.col(f"__s{level}")
     starts = starts.select(*keys, *names, total.alias("__start"))
     local = tagged.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)))
-    return local.join(starts, [*keys, *names]).withColumn(out, (F.col("__rn") + F.col("__start")).cast("long"))
+    return _meet(local, starts, [*keys, *names]).withColumn(out, (F.col("__rn") + F.col("__start")).cast("long"))
 
 
 def _edges(ends: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -85,7 +99,7 @@ def _edges(ends: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFr
         return near
     upper = ends.groupBy(*above).agg(F.min_by("__first", name).alias("__first"), F.max_by("__last", name).alias("__last"))
     outer = _edges(upper, keys, names[:-1]).withColumnsRenamed({"__before": "__b", "__after": "__a"})
-    return near.join(outer, above).select(
+    return _meet(near, outer, above).select(
         *above, name, F.coalesce("__before", "__b").alias("__before"), F.coalesce("__after", "__a").alias("__after"))
 
 
@@ -117,11 +131,8 @@ def _neighbours_by_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[st
     ends = tagged.groupBy(*keys, *names).agg(
         F.min_by("__v", rank).alias("__first"), F.max_by("__v", rank).alias("__last"))
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
-    near = (
-        tagged.withColumn("__lag", F.lag("__v").over(inside))
-        .withColumn("__lead", F.lead("__v").over(inside))
-        .join(_edges(ends, keys, names), [*keys, *names])
-    )
+    both = tagged.withColumn("__lag", F.lag("__v").over(inside)).withColumn("__lead", F.lead("__v").over(inside))
+    near = _meet(both, _edges(ends, keys, names), [*keys, *names])
     return near.select(*df.columns, F.coalesce("__lag", "__before").alias("__near_b"),
                        F.coalesce("__lead", "__after").alias("__near_a"))
 

@@ -17,7 +17,7 @@ from keepsake.operators.ledger import content_hash, exact_duplicates
 from keepsake.session import cut
 from keepsake.sources.tables import spread, table
 
-NAME_WORD = r"\p{Lu}\p{Ll}{7,}"
+NAME_WORD = r"\p{Lu}\p{Ll}{3,}"
 
 
 def ten_digits(number: Column) -> Column:
@@ -42,7 +42,12 @@ def by_range(column: str, width: int = 100_000) -> list[Column]:
 
 
 def first_line(text: str) -> Column:
-    return F.substring(stripped(F.split_part(text, F.lit("\n"), F.lit(1))), 1, 300)
+    return stripped(F.split_part(text, F.lit("\n"), F.lit(1)))
+
+
+def title_of(text: str) -> Column:
+    """The first line, as long as titles may be."""
+    return F.substring(first_line(text), 1, 300)
 
 
 def pick(column: Column, options: dict[str, str], otherwise: str) -> Column:
@@ -81,7 +86,7 @@ class Views:
         rows = d.join(lab, "doc_id", "left").join(orders, "doc_id", "left").select(
             ten_digits(c("doc_id")).alias("id"), "doc_id", "text", "lang", "source", "n_chars",
             pick(c("lang"), {"en": "newspaper_clipping", "fr": "photograph", "de": "letter"}, "document").alias("type"),
-            first_line("text").alias("title"),
+            title_of("text").alias("title"),
             F.when(c("toxic") == 1, "rejected").when(c("quality") == 1, "approved")
             .when(c("n_chars") < 100, "rectified").otherwise("analyzed").alias("status"),
             F.coalesce((c("quality") == 0) | (c("toxic") == 1), F.lit(False)).alias("flagged"),
@@ -95,18 +100,18 @@ class Views:
 
     @cached_property
     def hashed(self) -> DataFrame:
-        """(id, hash, title, lang): the little of each text that finding copies needs, written down."""
+        """(id, hash, head, lang): the little of each text that finding copies needs, written down; ``head`` is the hash of the whole first line."""
         rows = spread(self.t("documents")).select(
             ten_digits(F.col("doc_id")).alias("id"), content_hash(F.col("text")).alias("hash"),
-            first_line("text").alias("title"), "lang")
+            content_hash(first_line("text")).alias("head"), "lang")
         return cut(rows)
 
     @cached_property
     def pointers(self) -> DataFrame:
-        """duplicate_of (first copy of the text) and part_of (first text under the same title)."""
+        """duplicate_of (first copy of the text) and part_of (first text with the same first line and language, nulls alike)."""
         rows = exact_duplicates(self.hashed, "id", "hash")
-        heads = self.hashed.groupBy("title", "lang").agg(F.min("id").alias("__head"))
-        return rows.join(heads, ["title", "lang"]).select("id", "duplicate_of", F.when(
+        heads = self.hashed.groupBy(F.col("head").alias("__h"), F.col("lang").alias("__l")).agg(F.min("id").alias("__head"))
+        return rows.join(heads, F.col("head").eqNullSafe(F.col("__h")) & F.col("lang").eqNullSafe(F.col("__l"))).select("id", "duplicate_of", F.when(
             F.col("__head") != F.col("id"), F.col("__head")).alias("part_of"))
 
     @cached_property
@@ -312,7 +317,7 @@ def replies_of(records: DataFrame) -> DataFrame:
 
 # ---- the same views as SQL --------------------------------------------------
 
-TITLE = r"left(regexp_replace(split_part(d.text, chr(10), 1), '^\s+|\s+$', '', 'g'), 300)"
+FIRST_LINE = r"regexp_replace(split_part(d.text, chr(10), 1), '^\s+|\s+$', '', 'g')"
 ORDER_PRECISION = """CASE o.o_orderpriority WHEN '1-URGENT' THEN 'day' WHEN '2-HIGH' THEN 'month'
  WHEN '3-MEDIUM' THEN 'year' WHEN '4-NOT SPECIFIED' THEN 'decade' ELSE 'unknown' END"""
 RECORDS = f"""
@@ -320,7 +325,7 @@ records0 AS (
  SELECT printf('%010d', d.doc_id) AS id, d.doc_id, d.text, d.lang, d.source, d.n_chars,
   CASE d.lang WHEN 'en' THEN 'newspaper_clipping' WHEN 'fr' THEN 'photograph' WHEN 'de' THEN 'letter'
    ELSE 'document' END AS type,
-  {TITLE} AS title,
+  left({FIRST_LINE}, 300) AS title, sha256({FIRST_LINE}) AS head,
   CASE WHEN l.toxic = 1 THEN 'rejected' WHEN l.quality = 1 THEN 'approved' WHEN d.n_chars < 100 THEN 'rectified'
    ELSE 'analyzed' END AS status,
   COALESCE(l.quality = 0 OR l.toxic = 1, FALSE) AS flagged,
@@ -346,7 +351,7 @@ records AS (
 POINTED = RECORDS + """,
 pointed AS (
  SELECT *, NULLIF(min(id) OVER (PARTITION BY hash), id) AS duplicate_of,
-  NULLIF(min(id) OVER (PARTITION BY title, lang), id) AS part_of FROM records),
+  NULLIF(min(id) OVER (PARTITION BY head, lang), id) AS part_of FROM records),
 published AS (SELECT * FROM pointed WHERE status NOT IN ('rejected', 'detected', 'rectified'))"""
 FOLDED = POINTED + """,
 kept AS (SELECT * FROM published p WHERE duplicate_of IS NULL
@@ -363,7 +368,7 @@ fparts AS (SELECT id, page_no // 64 AS part, count(*) FILTER (page_no > 0) AS pa
 SLUG_MACRO = r"""trim(regexp_replace(lower(regexp_replace(strip_accents({0}), '[^\x00-\x7F]|[''`]', '', 'g')),
  '[^a-z0-9]+', '-', 'g'), '-')"""
 MENTIONS = r"""
-words AS (SELECT doc_id, regexp_extract_all(text, '\p{Lu}\p{Ll}{7,}') AS ws FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(text, '\p{Lu}\p{Ll}{3,}') AS ws FROM documents),
 mentions0 AS (
  SELECT doc_id, 'person' AS kind, unnest(ws) AS name, generate_subscripts(ws, 1) - 1 AS pos FROM words
  UNION ALL SELECT doc_id, 'organization', source, 0 FROM documents

@@ -54,9 +54,9 @@ regions AS (SELECT *, cx1 - cx0 >= 5 AND cy1 - cy0 >= 5 AS usable,
 claims AS (SELECT photo, pos, 'part_of' AS link, CAST(part_of AS BIGINT) AS target FROM regions WHERE usable
  UNION ALL SELECT photo, pos, 'duplicate_of', duplicate_of FROM regions WHERE usable
  UNION ALL SELECT photo, pos, 'related_to', unnest(related) FROM regions WHERE usable),
-valid AS (SELECT c.* FROM claims c JOIN regions r ON r.photo = c.photo AND r.pos = c.target AND r.usable WHERE c.target <> c.pos),
-rlinks AS (SELECT * FROM valid v WHERE link <> 'duplicate_of' OR NOT EXISTS (SELECT 1 FROM valid w
- WHERE w.photo = v.photo AND w.pos = v.pos AND w.link = 'part_of'))"""
+valid AS MATERIALIZED (SELECT c.* FROM claims c JOIN regions r ON r.photo = c.photo AND r.pos = c.target AND r.usable WHERE c.target <> c.pos),
+rlinks AS MATERIALIZED (SELECT photo, pos, link, target FROM (
+ SELECT *, bool_or(link = 'part_of') OVER (PARTITION BY photo, pos) AS parted FROM valid) WHERE link <> 'duplicate_of' OR NOT parted)"""
 
 
 def quads(v: Views) -> DataFrame:

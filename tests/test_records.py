@@ -77,7 +77,7 @@ def test_json_is_found_in_any_wrapping(spark):
     texts = [inner, f"```json\n{inner}\n```", f"```\n{inner}```", f"Sure! {inner} Bye }}", f"{{bad}} {inner}", "", None, "5 apples " + inner, '{"a": "\\"}"} x']
     df = spark.createDataFrame(list(enumerate(texts)), "n int, reply string")
     rows = extract_json(df, "reply").select("n", "tier", F.try_variant_get("data", "$.a", "string").alias("a")).orderBy("n").collect()
-    assert [r.tier for r in rows] == ["whole", "fenced", "fenced", "span", "none", "none", "none", "span", "whole"]
+    assert [r.tier for r in rows] == ["whole", "fenced", "fenced", "span", "none", "none", "none", "span", "span"]  # text after the object: not a whole reply
     assert [r.a for r in rows][:4] == ["br}ace {"] * 4 and rows[8].a == '"}'
 
 
@@ -263,3 +263,18 @@ def test_results_are_matched_by_id(spark):
     got = {r.item_id: r for r in I.reconcile(jobs(spark), some).collect()}
     assert len(got) == 20 and got["j03"].error == "missing from batch results" and not got["j03"].ok
     assert got["j04"].reply == "J04"
+
+
+def test_replies_with_trailing_text_repeated_keys_and_bare_numbers(spark):
+    replies = {
+        '{"draft":1} and then\n```json\n{"final":2}\n```': ('{"final":2}', "fenced"),
+        '{"a":1,"a":2}': ('{"a":2}', "whole"),
+        '{"c": NaN, "d": -Infinity}': ('{"c":"NaN","d":"-Infinity"}', "whole"),
+        '{"s":"say: NaN, ok"}': ('{"s":"say: NaN, ok"}', "whole"),
+        '{"a":1}]': ('{"a":1}', "span"),
+        '{"a":1}}': ('{"a":1}', "span"),
+        '{"a":1},{"b":2}': ('{"a":1}', "span"),
+    }
+    df = spark.createDataFrame([(r,) for r in replies], "reply string")
+    rows = extract_json(df, "reply").select("reply", F.col("data").cast("string").alias("d"), "tier").collect()
+    assert {r.reply: (r.d, r.tier) for r in rows} == replies
