@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.llm import jaccard
 from keepsake.llm.common import components, pick
 from keepsake.session import cut
 
@@ -256,29 +257,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("row").alias("doc_id"), _hex("print").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, proof_within: int = 15, within: int = 4, seeds: tuple[int, ...] = (42, 43),
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows of ``docs`` (row, mark, text) as (row, mark, d0, d1, grams): the different shingle hashes in order, as bytes, and their 128-bit digest."""
+    schema = pa.schema([("row", pa.int64()), ("mark", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("grams", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            grams = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(2)]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(g) for g in grams), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(grams, pa.binary())], schema=schema)
+
+    return docs.select("row", "mark", "text").mapInArrow(run, "row long, mark long, d0 long, d1 long, grams binary")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of one row of each group of near copies: that of the smallest id, null ids last.
 
-    Candidates are rows that differ in ``within`` bits or fewer in one of their fingerprints over different words (one for each seed); they
-    are copies if their fingerprints over ``shingle`` words differ in at most ``proof_within`` bits. Texts that share 0.8 of their shingles differ in 10 of 64
-    bits on average, and 15 is two deviations of that estimate above it. Of rows with the same id the one with the smallest hash stays; a
-    repeated row stays once. Empty and null texts are one group. Extra columns are returned untouched, whatever their names.
+    Copies are rows whose sets of ``shingle`` words have Jaccard 0.8 or more, all such pairs (see ``jaccard``); groups are what they join.
+    Of rows with the same id the one with the smallest hash stays; a repeated row stays once. Empty and null texts are one group.
+    Extra columns are returned untouched, whatever their names.
     """
     ids, marks = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    prints = {f"print{i}": seed for i, seed in enumerate(seeds)}
-    made = cut(fingerprints(pick(docs, row=ids, mark=marks, text=text_col), {"proof": shingle}, prints))
-    nodes = cut(made.select("proof", *prints).distinct())
-    name = {p: F.concat(F.lit(p), _hex(p), _hex("proof")) for p in prints}
-    found = nodes.select(name["print0"].alias("a"), name["print0"].alias("b")).where("false")
-    for p in prints:
-        near = links(nodes.select(F.col(p).alias("print"), "proof").distinct(), within, proof_within)
-        found = found.union(near.select(F.concat(F.lit(p), "a"), F.concat(F.lit(p), "b")))
-        if p != "print0":
-            found = found.union(nodes.select(name["print0"], name[p]))
-    roots = components(cut(found))
-    labels = nodes.withColumn("node", name["print0"]).join(roots, "node", "left").select("proof", *prints, F.coalesce("root", "node").alias("root"))
-    groups = made.join(labels, ["proof", *prints]).select("row", "mark", "root")
+    made = cut(shingle_sets(pick(docs, row=ids, mark=marks, text=text_col), shingle).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(made.groupBy("d0", "d1").agg(F.min("node").alias("node")))
+    roots = components(jaccard.links(made.select("node", "grams").join(nodes.select("node"), "node", "left_semi")))
+    labels = nodes.join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
+    groups = made.join(labels, ["d0", "d1"]).select("row", "mark", "root")
     first = Window.partitionBy("root").orderBy(F.col("row").asc_nulls_last(), "mark")
     keep = groups.select("root", "row", "mark", F.row_number().over(first).alias("n")).where("n = 1")
     keep = keep.select(F.col("row").isNull().alias("k0"), F.coalesce("row", F.lit(0)).alias("k1"), F.col("mark").alias("k2"))
