@@ -62,3 +62,31 @@ def test_pairs_just_above_are_found(spark):
     near = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
     assert 0.8 <= min(near) < max(near) < 0.87
     assert ids(spark, rows) == kept(rows) == list(range(0, 120, 2))
+
+
+def test_pairs_just_below_stay(spark):
+    rows = planted(2, 0.15)
+    near = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert 0.6 < min(near) < max(near) < 0.8
+    assert ids(spark, rows) == kept(rows) == list(range(120))
+
+
+def test_families_around_the_threshold(spark):
+    r = random.Random(3)
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "One  two"), (4, "a b c d e f g h"), (5, "a b c d e f g h i"), (6, "a b c d e f g")]
+    footer = words(r, 40)
+    for n in (30, 120, 300):
+        base = words(r, n)
+        for _ in range(60):
+            rows.append((len(rows), " ".join(edited(r, base, r.randrange(1, 1 + n // 20)) + footer * r.randrange(2))))
+    assert ids(spark, rows) == kept(rows)
+
+
+def test_meetings_across_batches_and_groups():
+    """All pairs of different groups that share a shingle at places where they can be near, and no others."""
+    r = np.random.default_rng(1)
+    rows = np.column_stack([np.full(80, 5), np.arange(80), r.integers(40, 60, 80), r.integers(0, 12, 80), r.integers(0, 6, 80), *np.zeros((4, 80), dtype=np.int64)])
+    got = {tuple(p.values()) for b in jaccard._group(rows) for p in b.to_pylist()}
+    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if rows[i, 4] != rows[j, 4]
+            and 9 * min(rows[i, 2] - rows[i, 3], rows[j, 2] - rows[j, 3]) >= 4 * (rows[i, 2] + rows[j, 2])}
+    assert got == want
