@@ -278,10 +278,12 @@ def keep_first(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_c
     Extra columns are returned untouched, whatever their names.
     """
     ids, marks = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    made = cut(shingle_sets(pick(docs, row=ids, mark=marks, text=text_col), shingle).withColumn("node", F.monotonically_increasing_id()))
-    nodes = cut(made.groupBy("d0", "d1").agg(F.min("node").alias("node")))
-    roots = components(jaccard.links(made.select("node", "grams").join(nodes.select("node"), "node", "left_semi")))
-    labels = nodes.join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
+    texts = pick(docs, row=ids, mark=marks, text=text_col)
+    sets = shingle_sets(texts, shingle).groupBy("d0", "d1").agg(F.first("grams").alias("grams"))
+    sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
+    made = cut(shingle_sets(texts, shingle).select("row", "mark", "d0", "d1"))  # made again, as the sets of all rows would take more disk than the texts
+    roots = components(jaccard.links(sets.select("node", "grams")))
+    labels = sets.select("d0", "d1", "node").join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
     groups = made.join(labels, ["d0", "d1"]).select("row", "mark", "root")
     first = Window.partitionBy("root").orderBy(F.col("row").asc_nulls_last(), "mark")
     keep = groups.select("root", "row", "mark", F.row_number().over(first).alias("n")).where("n = 1")
