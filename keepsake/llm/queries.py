@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontaminate, html_text, language, mixing, secret_scan, simhash, substrings, token_counts, topk, toxicity
+from keepsake.llm import (decontaminate, html_text, language, mixing, packing, periods, phrases, secret_scan, simhash, substrings, token_counts, topk,
+                          toxicity)
 from keepsake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +132,42 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's score for toxicity."""
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query(r"""
+WITH p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(lower_az, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n
+                   FROM s, (VALUES (1), (2), (3)) AS t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1 AND n >= 10),
+inside AS (SELECT lang, array_to_string(w[j:j + 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (1), (2)) AS t(j) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM kept, (VALUES (1), (2)) AS t(j) WHERE j < k),
+scored AS (SELECT cuts.*, l.n AS l, r.n AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+           FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM worst JOIN total USING (lang) QUALIFY rank <= 2000""")
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 strongest collocations of each language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+@_query()
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 ids, along a Hilbert curve."""
+    out = packing.packed(table(spark, folder, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@_query()
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's runs, the longest of them, and its words without the repetitions; a tenth of the documents end in a run."""
+    out = periods.periodic(periods.with_tails(table(spark, folder, "documents")))
+    best = periods.longest(F.col("runs"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periods.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
