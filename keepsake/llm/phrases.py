@@ -28,9 +28,9 @@ from keepsake.session import cut
 
 BURST, FAN = 4096, 64
 #: Paths and different words that a task holds, and places of texts that are counted at a time.
-HELD, WORDS, BLOCK = 1_200_000, 1 << 19, 1 << 19
+HELD, WORDS, BLOCK = 800_000, 1 << 18, 1 << 18
 #: Characters of text for each prefix partition; a prefix is spread over one in so many of them.
-CHARS, SPREAD = 1 << 22, 64
+CHARS, SPREAD = 1 << 20, 64
 _BITS = 21
 _ID = (1 << _BITS) - 1
 _STOP = b"."

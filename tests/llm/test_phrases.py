@@ -45,7 +45,7 @@ def plain(rows, least=10, top=2000):
     return sorted(out)
 
 
-@pytest.mark.parametrize("held,burst,block", [(1_200_000, 4096, 1 << 19), (40, 3, 50)])
+@pytest.mark.parametrize("held,burst,block", [(800_000, 4096, 1 << 18), (40, 3, 50)])
 def test_equal_to_plain_counting(spark, monkeypatch, held, burst, block):
     rows = texts()
     made = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.lit("x")).withColumn("phrase", F.lit(1)).repartition(5)
