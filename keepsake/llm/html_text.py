@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from keepsake.llm.common import pick
 
-TOKENS = 20_000
 PRIOR = 50
-#: The most that one token says, by its kind: generic tags, parents, lengths and shares of links less than names and other tags.
+#: Slots of the fixed table that names of neither list below share by hash, so that each of them counts however many there are.
+SLOTS = 1 << 16
+#: The most that one token says, by its kind: generic tags, parents, lengths and shares of links less than names and other tags, generic parents least.
 _CLIP = {"n": 4.0, "t": 4.0, "p": 1.5, "a": 1.5, "l": 1.0}
 _GENERIC = frozenset("t:div t:section t:table t:tbody t:tr t:td t:th t:ul t:ol t:li t:dl t:dt t:dd t:p t:h1 t:h2 t:h3 t:h4 t:h5 t:h6 t:a t:span t:blockquote t:pre t:figure".split())
 #: Names of parts that aren't the article, and of those that are.
@@ -40,9 +42,11 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins k
 #: An opening tag ends open elements of these kinds, up to the ones that hold them.
 _ENDS = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}),
          "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: A quote opens a string only after an equals sign, and only if another one ends it.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""", re.S)
+_NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_KNOWN = PARTS | BODIES | _NEVER | _RAW | _VOID | _INLINE | {t[2:] for t in _GENERIC} | {"#page", "html", "body", "article", "main"}
 
 
 @dataclass(slots=True)
@@ -64,6 +68,7 @@ def parse(source: str | None) -> Page:
     """Elements (each after its parent) and texts of a page. Inline elements without class, id and role belong to the element around them."""
     page = Page([Node("#page", -1, [])])
     stack: list[tuple[str, int]] = [("#page", 0)]
+    places: dict[str, list[int]] = {}  # of each tag in the stack
     links, at = 0, 0
     source = source or ""
 
@@ -79,18 +84,20 @@ def parse(source: str | None) -> Page:
     def close(k: int) -> None:
         nonlocal links
         for tag, _ in stack[k:]:
+            places[tag].pop()
             links -= tag == "a"
             if tag not in _INLINE:
                 page.texts.append((0, ""))
         del stack[k:]
 
     def last(tags, within=()) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in within:
-                return 0
-        return 0
+        """Where the innermost of these tags stands, 0 if nowhere or if one of ``within`` stands further in."""
+        k, inner = (max((places[t][-1] for t in names if places.get(t)), default=0) for names in (tags, within))
+        return k if k > inner else 0
+
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
 
     while True:
         m = _TAG.search(source, at)
@@ -122,22 +129,27 @@ def parse(source: str | None) -> Page:
             at = end.end() if end else len(source)
             continue
         if tag in _INLINE and not names:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
         else:
             page.nodes.append(Node(tag, stack[-1][1], names))
-            stack.append((tag, len(page.nodes) - 1))
+            push(tag, len(page.nodes) - 1)
         links += tag == "a"
     tail = source[at:]
     text(at, at + (tail.rfind("<") if re.search(r"<[a-zA-Z/!][^>]*\Z", tail) else len(tail)))
     return page
 
 
+def _slot(name: str) -> str:
+    """The name itself if it is known, else the number of its slot."""
+    return name if name in _KNOWN else str(zlib.crc32(name.encode()) % SLOTS)
+
+
 def tokens(page: Page, k: int) -> list[str]:
     """What describes an element."""
     n = page.nodes[k]
     around = page.nodes[n.parent] if n.parent >= 0 else n
-    out = [f"t:{n.tag}", f"p:{around.tag}", f"l:{int(math.log2(n.chars + 1))}", f"a:{round(4 * n.linked / n.chars) if n.chars else -1}"]
-    return out + [f"n:{w}" for w in set(n.names)]
+    out = [f"t:{_slot(n.tag)}", f"p:{_slot(around.tag)}", f"l:{int(math.log2(n.chars + 1))}", f"a:{round(4 * n.linked / n.chars) if n.chars else -1}"]
+    return out + [f"n:{t}" for t in {_slot(w) for w in n.names}]
 
 
 def labels(page: Page) -> list[int] | None:
@@ -185,9 +197,9 @@ def _count(batches):
 
 
 def train(pages: DataFrame) -> Model:
-    """Potentials from all pages (html) that label themselves; the ``TOKENS`` most frequent tokens are kept."""
+    """Potentials from all pages (html) that label themselves: every token of theirs counts, in a table of bounded size."""
     counted = pages.select("html").mapInArrow(_count, "what string, n long").groupBy("what").agg(F.sum("n").alias("n"))
-    seen = {r.what: r.n for r in counted.orderBy(F.desc("n"), "what").limit(2 * TOKENS).collect()}
+    seen = {r.what: r.n for r in counted.collect()}
     for kind, names in (("0", PARTS | _NEVER), ("1", BODIES)):
         for w in names:
             for what in (f"{kind}n:{w}", f"{kind}t:{w}"):
@@ -197,7 +209,7 @@ def train(pages: DataFrame) -> Model:
     odds = {}
     for what in {w[1:] for w in seen if w[0] in "01"}:
         one, zero = seen.get("1" + what, 0) + 0.5, seen.get("0" + what, 0) + 0.5
-        most = 1.0 if what in _GENERIC else _CLIP[what[0]]
+        most = 0.3 if what[0] == "p" and f"t{what[1:]}" in _GENERIC else 1.0 if what in _GENERIC else _CLIP[what[0]]
         odds[what] = max(-most, min(most, math.log(one / (seen["y1"] + 1)) - math.log(zero / (seen["y0"] + 1))))
     # Under an element that isn't named a part, content must be able to begin even if no labelled page has it there.
     floor = (-2.5, -9.0)
@@ -253,7 +265,12 @@ def extract(source: str | None, model: Model) -> str:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) of every row; null and empty pages and pages without content have an empty text, repeated rows equal ones."""
+    """(page_id, url, text) of every row; null and empty pages and pages without content have an empty text, repeated rows equal ones.
+
+    An empty table gives no rows; other columns of the table don't matter, whatever their names. A page is held whole, whatever its length and however deep its
+    elements lie. Broken markup is read as browsers do, as far as told here: what is left open ends with the element around it or with the page, a quote that
+    nothing ends is part of a name.
+    """
     rows = pick(pages, page_id=F.col(id_col).cast("long"), url=F.col(url_col).cast("string"), html=html_col)
     model = train(rows)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])

@@ -137,13 +137,13 @@ def _runs(values: list) -> list[dict]:
 
 
 _RUNS = "array<struct<at: int, n: int, first: long>>"
-_CONTEXT = "row long, anchor long, h1 long, h2 long, at int, n int"
+_CONTEXT = "row long, mark long, anchor long, h1 long, h2 long, at int, n int"
 
 
 def _scan(batches, length: int, gram: int):
-    schema = pa.schema([(n, pa.int64()) for n in ("row", "anchor", "h1", "h2")] + [("at", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([(n, pa.int64()) for n in ("row", "mark", "anchor", "h1", "h2")] + [("at", pa.int32()), ("n", pa.int32())])
 
-    def found(rows: list[int], texts: list[bytes]):
+    def found(rows: list[tuple[int, int]], texts: list[bytes]):
         starts, _, h = words(b"\n".join(texts))
         edges = np.cumsum([len(t) + 1 for t in texts])
         ends = np.searchsorted(starts, edges, "left")
@@ -151,13 +151,13 @@ def _scan(batches, length: int, gram: int):
         doc = np.searchsorted(ends, at, "right")
         h1, h2 = digests(h, at, at + n + length - 1) if len(at) else (anchor, anchor)
         own = at - np.r_[0, ends][doc]
-        columns = np.array(rows, dtype=np.int64)[doc], anchor.view(np.int64), h1.view(np.int64), h2.view(np.int64), own.astype(np.int32), n.astype(np.int32)
+        columns = *np.array(rows, dtype=np.int64)[doc].T.copy(), anchor.view(np.int64), h1.view(np.int64), h2.view(np.int64), own.astype(np.int32), n.astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     for batch in batches:
         rows, texts, size = [], [], 0
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows.append(row)
+        for row, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            rows.append((row, mark))
             texts.append(_bytes(text))
             size += len(texts[-1]) + 1
             if size > 1_000_000:
@@ -205,12 +205,13 @@ def _shards(batches, length: int, arrow: pa.Schema):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(row, spans): the word spans [at, to) of each document covered by windows that start in a document with a smaller id.
+    """(row, mark, spans): the word spans [at, to) of each document covered by windows that start in a document with a smaller id.
 
-    ``docs`` has (row long, text string). Rows without such a span are left out; null texts and null ids take no part. Rows that share an id count as one document's.
+    ``docs`` has (row long, mark long, text string); ``mark`` tells the texts of rows with the same id apart. Rows without such a span are left out; null texts and
+    null ids take no part. Rows that share an id are never earlier than each other.
     """
     docs = docs.where("row is not null")
-    found = cut(docs.select("row", "text").mapInArrow(lambda b: _scan(b, length, gram), _CONTEXT))
+    found = cut(docs.select("row", "mark", "text").mapInArrow(lambda b: _scan(b, length, gram), _CONTEXT))
     key = ["anchor", "h1", "h2"]
     kinds = cut(found.groupBy(*key).agg(F.min("row").alias("first"), F.max("row").alias("last"), F.max("n").alias("n"),
                                         F.min_by("at", F.struct("row", "at")).alias("at")))
@@ -236,19 +237,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     large = (large.drop("first", "last").join(earliest, "window").groupBy(*key)
              .agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "first")).alias("runs")))
     runs = cut(plain.unionByName(small).unionByName(large))
-    hit = found.select("row", *key, F.col("at").alias("start")).join(runs, key)
-    spans = hit.select("row", F.transform(F.filter("runs", lambda x: x["first"] < F.col("row")), lambda x: F.struct(
+    hit = found.select("row", "mark", *key, F.col("at").alias("start")).join(runs, key)
+    spans = hit.select("row", "mark", F.transform(F.filter("runs", lambda x: x["first"] < F.col("row")), lambda x: F.struct(
         (F.col("start") + x["at"]).alias("at"), (F.col("start") + x["at"] + x["n"] + length - 1).alias("to"))).alias("spans")).where(F.size("spans") > 0)
-    return spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.groupBy("row", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row after the spans that earlier documents hold are removed.
 
-    Null and empty texts have no words and give an empty text; rows with a null id are kept whole; repeated rows have the same id, so neither is earlier.
+    Null and empty texts have no words and give an empty text; rows with a null id are kept whole. Rows with the same id are never earlier than each other, be
+    their texts equal or not, and each loses only what its own windows cover. An empty table gives no rows; other columns don't matter, whatever their names.
     """
-    rows = pick(docs, row=F.col(id_col).cast("long"), text=text_col)
-    marked = rows.join(repeated_spans(rows, length), "row", "left")
+    rows = pick(docs, row=F.col(id_col).cast("long"), mark=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text=text_col)
+    marked = rows.join(repeated_spans(rows, length), ["row", "mark"], "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches):

@@ -10,7 +10,9 @@ landmarks are multiplied out into weights of subsequences, which score any unit
 The twelve worst decisions of a text, set against its number of units (a long text has many chances to hold a harmless word that looks
 like an insult), become a probability by a logistic fit. That fit sees each half of the training texts through a machine trained on the other half.
 
-Training takes a bounded sample of labelled rows, ``SAMPLE`` by hash of the id (all if there are fewer); scoring takes every text whole.
+Training takes a bounded sample of labelled rows, ``SAMPLE`` by hash of the id (all if there are fewer), and the machine is of bounded size: of the units that tell toxic texts
+by the rates below, the ``CANDIDATES`` in most toxic texts are looked at and ``POSITIVE`` learnt; of the others, the ``NEGATIVE`` most similar to those and as many chosen by
+hash; ``LANDMARKS`` in all. Without toxic texts, or without others, nothing can be told apart and no text is toxic. Scoring takes every text whole.
 """
 
 from __future__ import annotations
@@ -163,14 +165,15 @@ class Scorer:
 
 
 def _bags(rows: DataFrame) -> DataFrame:
-    """(row, toxic, units, mark); ``mark`` is the same for most near copies: the three smallest hashes of pairs of words."""
+    """(row, toxic, units, mark); ``mark`` is the same for most near copies: the three smallest hashes of pairs of words, or the text's if it has no pair."""
     schema = pa.schema([("row", pa.int64()), ("toxic", pa.int32()), ("units", pa.list_(pa.string())), ("mark", pa.string())])
 
     def run(batches):
         for batch in batches:
             plain = batch.column(2).to_pylist()
             texts = [sorted(units(t)) for t in plain]
-            marks = [",".join(heapq.nsmallest(3, {xxhash.xxh64_hexdigest(f"{a} {b}") for a, b in pairwise((t or "").split())})) for t in plain]
+            marks = [",".join(heapq.nsmallest(3, {xxhash.xxh64_hexdigest(f"{a} {b}") for a, b in pairwise((t or "").split())})) or xxhash.xxh64_hexdigest(t or "")
+                     for t in plain]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, schema.types[2]), pa.array(marks, pa.string())], schema=schema)
 
@@ -253,7 +256,7 @@ def _newton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     """A model from ``docs`` (row, text) where ``learn`` holds and ``labels`` (row, toxic), of which nulls are left out.
 
-    Without toxic or other texts to learn from, the model gives their share as the score of every text.
+    Without toxic or other texts to learn from, or units that tell them apart, the model gives every text a score of almost 0: labels of other texts are no evidence.
     """
     known = labels.where("toxic is not null and row is not null").groupBy("row").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = cut(docs.where(learn).select("row").join(known, "row"))
@@ -261,14 +264,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     share = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))
     bags = cut(_bags(docs.where(learn & share).join(ids.where(share).distinct(), "row")))
     # Copies of one toxic text would make all of its words look toxic: they count once.
-    apart = cut(bags.dropDuplicates(["toxic", "mark"]).select("row", "toxic", "units"))
+    apart = cut(bags.groupBy("toxic", "mark").agg(F.min(F.struct("row", "units")).alias("one")).select("one.row", "toxic", "one.units"))
     half = F.pmod(F.xxhash64("row", F.lit("half")), F.lit(2))
     model = _machine(apart)
     halves = [_machine(apart.where(half != side)) for side in (0, 1)]
     if model is None:
-        totals = _totals(apart)
-        rate = totals.bad / max(totals.bad + totals.good, 1)
-        return Model("", np.zeros(0), 0.0, np.r_[np.zeros(EVIDENCE - 1), np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))])
+        return Model("", np.zeros(0), 0.0, np.r_[np.zeros(EVIDENCE - 1), -30.0])
     # Too few texts for halves: the fit sees the texts through the machine trained on them.
     views = [(apart, model)] if None in halves else [(apart.where(half == side), m) for side, m in enumerate(halves)]
     seen = pd.concat([_evidence(rows, m).toPandas() for rows, m in views]).sort_values("row")
@@ -357,7 +358,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, held_out, score, predicted) of every row; a null id counts as the empty text when folds are dealt.
 
     Labels are learnt from rows of the folds 0, 1 and 3 of crc32(id) modulo 4; only the text is used to score. Null and empty texts get a low score,
-    repeated rows the same score. Labels without a document, and nulls in labels, change nothing.
+    repeated rows the same score. Labels without a document, and nulls in labels, change nothing. An empty table gives no rows; if nothing can be learnt no text is
+    toxic; a very long text is scored whole. Other columns of the tables don't matter, whatever their names.
     """
     rows = pick(docs, row=F.col(id_col).cast("long"), text=text_col)
     fold = remainder(F.col("row"), 4)
@@ -368,7 +370,10 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below the threshold."""
+    """The rows of ``docs``, all columns, that score below the threshold.
+
+    Rows with null and empty texts stay, as do all if nothing can be learnt; repeated rows stay or go together, whatever their ids; columns keep their names and places.
+    """
     rows = pick(docs, row=F.col(id_col).cast("long"), text=text_col)
     fold = remainder(F.col("row"), 4)
     model = train(rows, pick(labels, row=F.col("doc_id").cast("long"), toxic="toxic"), (fold != 2) & F.col("row").isNotNull())
