@@ -1,17 +1,22 @@
 """Sequences of equal length for training, of documents that lie next to each other on a space-filling curve.
 
-A document's vector is the sum of the vectors of its different words, each a point of the cube by the word's hash. On a grid of
-``2^BITS`` steps in ``DIMENSIONS`` dimensions its place on the Hilbert curve is the document's key. Documents are range-sorted by key, so that those that share
-words stand near each other, and packed in that order: their ids form one stream, cut where a sequence is full. What is left at its end
+A document's vector has a one in the slot (by hash) of each pair of ids that follow each other in it. It is projected to ``DIMENSIONS`` dimensions; on a grid of
+``2^BITS`` steps in each, its place on the Hilbert curve is the document's key. Documents are range-sorted by key, so that those that share
+phrases stand near each other, and packed in that order: their ids form one stream, cut where a sequence is full. What is left at its end
 goes to sequences whose lengths are powers of two, so nothing at all is padded.
 Only keys and lengths are sorted. The start of a document in the stream is its place in its range plus the ranges before, so no task sees more than its range.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
+from functools import cache
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -19,58 +24,78 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keepsake.llm.common import pick
+from keepsake.llm.hashing import mixed
 from keepsake.session import cut
 from keepsake.sources.tables import spread
 
 DIMENSIONS, BITS = 4, 15
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words that a worker remembers with their ids, and bytes of ids given out at a time.
-KNOWN, CHUNK = 1 << 19, 1 << 23
+#: Words, and parts of words, that a worker remembers with their ids, slots of a hashed vector, and bytes of ids given out at a time.
+KNOWN, SLOTS, CHUNK = 700_000, 1 << 16, 1 << 23
+#: The tokenizer's pre-tokens (a fixed value) and the letters that stand for bytes in its vocabulary, by its rule: printable ones for themselves, the others from 256 on.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {**{b: chr(b) for b in _PRINTED}, **{b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(_PRINTED)))}}
+#: Words of these letters only are the same after the tokenizer's normalisation, but for case.
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
 
 
-class Encoder:
-    """Ids and vectors of texts, from those of their words.
+class Encoder(dict):
+    """Words (as bytes) with their ids (as bytes), and the points of texts.
 
-    The tokenizer's pre-tokens never hold white space and it normalises what lies between white space for itself, so the ids of a text are those of its words.
+    The tokenizer's pre-tokens never hold white space and it normalises what lies between white space for itself, so the ids of a text are those of its words. Those
+    of a word of plain letters are those of its pre-tokens, which its model gives at once; other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.forget()
-
-    def forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.ids: list[bytes] = []
-        self.vectors = np.zeros((KNOWN, DIMENSIONS), dtype=np.float32)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.places))
-        if not new:
-            return
-        if len(self.ids) + len(new) > KNOWN:
-            self.forget()
-            new = list(words)
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        n = len(self.ids)
-        self.places.update(zip(new, range(n, n + len(new))))
-        self.ids.extend(np.array(c.ids, dtype=self.width).tobytes() for c in coded)
-        if n + len(new) > len(self.vectors):  # one text with more different words than are remembered
-            self.vectors = np.concatenate([self.vectors, np.zeros((n + len(new) - len(self.vectors), DIMENSIONS), dtype=np.float32)])
-        marks = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))
-        self.vectors[n:n + len(new)] = marks.view(np.uint16).reshape(-1, 4)[:, :DIMENSIONS] / 32768 - 1
+        self.model, self.parts = self.tokenizer.model, {}
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = f"u{array(self.code).itemsize}"
+        marks = mixed(np.arange(1, SLOTS + 1, dtype=np.uint64))
+        self.table = marks.view(np.uint16).reshape(SLOTS, 4)[:, :DIMENSIONS] / 32768 - 1
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if word.isalpha():  # from A to Z
+            ids = self.part(text.lower())
+        elif _PLAIN.fullmatch(text) and "<|" not in text:
+            ids = b"".join(map(self.part, PATTERN.findall(text.lower())))
+        else:
+            ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def part(self, token: str) -> bytes:
+        """The ids of a pre-token of plain letters in lower case."""
+        ids = self.parts.get(token)
+        if ids is None:
+            if len(self.parts) >= KNOWN:
+                self.parts.clear()
+            letters = token if token.isascii() else "".join(map(_LETTERS.__getitem__, token.encode()))
+            ids = self.parts[token] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray]:
-        """The ids of a text and the point of the unit cube that its words give."""
-        words = text.encode().split()
-        self.learn(set(words))
-        places = list(map(self.places.__getitem__, words))
-        ids = b"".join(map(self.ids.__getitem__, places))
-        different = np.unique(np.array(places, dtype=np.int64))
-        at = self.vectors[different].sum(axis=0, dtype=np.float64) / max(1.0, len(different) / 3) ** 0.5
+        """The ids of a text, and the point of the unit cube that its different pairs of ids give, each pair being a slot by hash."""
+        ids = b"".join(map(self.__getitem__, text.encode().split()))
+        numbers = np.frombuffer(ids, dtype=self.width).astype(np.uint32)
+        pairs = ((numbers[:-1] * np.uint32(0x9E3779B1) + numbers[1:]) * np.uint32(0x85EBCA77) >> np.uint32(16)).astype(np.uint16)
+        different = np.sort(pairs)
+        different = different[np.r_[True, different[1:] != different[:-1]]] if len(pairs) else different
+        at = self.table[different].sum(axis=0) / max(1.0, len(different) / 3) ** 0.5
         return ids, 1 / (1 + np.exp(-1.7 * at))
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The places on the Hilbert curve of points (rows) of a grid of 2^bits steps in each dimension.
 
@@ -105,7 +130,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("mark", pa.int64()), ("key", pa.int64())])
 
     def run(batches):
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         end = np.array([end_id], dtype=coder.width).tobytes()
         for batch in batches:
             rows, ids, points, size = [], [], [], 0
@@ -178,7 +203,7 @@ def packed(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col
         for batch in batches:
             made, size = [], 0
             for row, ids, n, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                numbers = np.frombuffer(ids, dtype=f"<u{len(ids) // n}").astype("<u4")
+                numbers = np.frombuffer(ids, dtype=f"u{len(ids) // n}").astype("<u4")
                 edges = np.arange((at // length + 1) * length, min(at + n, full * length), length)
                 edges = np.unique(np.r_[at, edges, ends[(ends > at) & (ends < at + n)], at + n])
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):

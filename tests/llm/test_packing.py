@@ -81,7 +81,7 @@ def test_the_query(spark, tokenizer):
 
 
 def test_copies_stand_together(spark):
-    base = [" ".join(f"w{k}" for k in random.Random(i).sample(range(3000), 80)) for i in range(60)]
+    base = [" ".join(f"w{k}" for k in random.Random(i).sample(range(3000), 400)) for i in range(60)]
     docs = [(i, base[i % 60] + (" more" if i >= 60 else "")) for i in range(120)]
     rows = packing.packed(spark.createDataFrame(docs, "doc_id long, text string"), length=1 << 20).collect()
     where = {r.doc_id: (r.sequence_id, r.offset) for r in rows}
@@ -95,3 +95,13 @@ def test_many_words_are_forgotten_and_learnt_again(tokenizer, monkeypatch):
     coder = packing.Encoder(packing.TOKENIZER)
     for t in ["a b c", "d e f", "a b c d e f g h", "h a"]:
         assert np.frombuffer(coder.encode(t)[0], coder.width).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_words_of_all_letters(tokenizer):
+    """Each letter for itself and in words, with marks, digits, capitals and contractions around."""
+    r, coder = random.Random(4), packing.Encoder(packing.TOKENIZER)
+    letters = [chr(c) for c in [*range(0x21, 0x250), *range(0x300, 0x310), *range(0x391, 0x3CA), 0x1E9E, 0x2028, 0xFB01, 0x4E2D, 0x1F600, 0xAC00] if chr(c).strip()]
+    texts = letters + ["".join(r.choice(letters[:94] if r.random() < 0.5 else letters) for _ in range(r.randint(1, 9))) for _ in range(20_000)]
+    texts += [a + b + c for a in ("don", "DON", "é", "1", "") for b in ("'s", "'T", "'re", "'VE", "'m", "'ll", "'d", "''", "<|endoftext|>") for c in ("", "x", "'s", "2")]
+    for t in texts:
+        assert np.frombuffer(coder.encode(t)[0], coder.width).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
