@@ -257,39 +257,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("row").alias("doc_id"), _hex("print").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The rows of ``docs`` (row, mark, text) as (row, mark, d0, d1, grams): the different shingle hashes in order, as bytes, and their 128-bit digest."""
-    schema = pa.schema([("row", pa.int64()), ("mark", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("grams", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            grams = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(2)]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(g) for g in grams), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(grams, pa.binary())], schema=schema)
-
-    return docs.select("row", "mark", "text").mapInArrow(run, "row long, mark long, d0 long, d1 long, grams binary")
-
-
 def keep_first(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of one row of each group of near copies: that of the smallest id, null ids last.
 
     Copies are rows whose sets of ``shingle`` words have Jaccard 0.8 or more, all such pairs (see ``jaccard``); groups are what they join.
-    Of rows with the same id the one with the smallest hash stays; a repeated row stays once. Empty and null texts are one group.
-    Extra columns are returned untouched, whatever their names.
+    Of rows with the same id the one with the smallest hash stays; a repeated row stays once, that with the smallest hash of all columns. Empty and null texts are one
+    group; an empty table stays empty; very long texts are taken whole. Extra columns are returned untouched, whatever their names.
     """
     ids, marks = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = pick(docs, row=ids, mark=marks, text=text_col)
-    sets = shingle_sets(texts, shingle).groupBy("d0", "d1").agg(F.first("grams").alias("grams"))
-    sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
-    made = cut(shingle_sets(texts, shingle).select("row", "mark", "d0", "d1"))  # made again, as the sets of all rows would take more disk than the texts
-    roots = components(jaccard.links(sets.select("node", "grams")))
-    labels = sets.select("d0", "d1", "node").join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"))
-    groups = made.join(labels, ["d0", "d1"]).select("row", "mark", "root")
-    first = Window.partitionBy("root").orderBy(F.col("row").asc_nulls_last(), "mark")
-    keep = groups.select("root", "row", "mark", F.row_number().over(first).alias("n")).where("n = 1")
-    keep = keep.select(F.col("row").isNull().alias("k0"), F.coalesce("row", F.lit(0)).alias("k1"), F.col("mark").alias("k2"))
+    made = cut(jaccard.named(texts, shingle))
+    roots = components(jaccard.links(texts, shingle)).select(F.col("node.d0").alias("d0"), F.col("node.d1").alias("d1"), "root")
+    groups = made.join(roots, ["d0", "d1"], "left").select("row", "mark", F.coalesce("root", F.struct("d0", "d1")).alias("root"))
+    key = F.struct(F.col("row").isNull().alias("k0"), F.coalesce("row", F.lit(0)).alias("k1"), F.col("mark").alias("k2"))
+    keep = groups.groupBy("root").agg(F.min(key).alias("k")).select("k.*")
+    many = made.groupBy(F.col("row").isNull().alias("k0"), F.coalesce("row", F.lit(0)).alias("k1"), F.col("mark").alias("k2")).count().where("count > 1").drop("count")
+    keep = cut(keep.join(many.withColumn("again", F.lit(True)), ["k0", "k1", "k2"], "left").withColumn("again", F.col("again").isNotNull()))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), ids.isNull().alias("k0"),
                        F.coalesce(ids, F.lit(0)).alias("k1"), marks.alias("k2"))
-    hit = rows.join(keep, ["k0", "k1", "k2"], "left_semi")
-    once = hit.withColumn("n", F.row_number().over(Window.partitionBy("k0", "k1", "k2").orderBy("k1"))).where("n = 1")
-    return once.select("r.*")
+    single = rows.join(keep.where("not again").drop("again"), ["k0", "k1", "k2"], "left_semi").select("r.*")
+    order = Window.partitionBy("k0", "k1", "k2").orderBy(F.xxhash64("r"))
+    repeated = rows.join(keep.where("again").drop("again"), ["k0", "k1", "k2"], "left_semi")
+    return single.unionByName(repeated.withColumn("n", F.row_number().over(order)).where("n = 1").select("r.*"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from keepsake.llm import jaccard, simhash
 
@@ -85,8 +86,36 @@ def test_families_around_the_threshold(spark):
 def test_meetings_across_batches_and_groups():
     """All pairs of different groups that share a shingle at places where they can be near, and no others."""
     r = np.random.default_rng(1)
-    rows = np.column_stack([np.full(80, 5), np.arange(80), r.integers(40, 60, 80), r.integers(0, 12, 80), r.integers(0, 6, 80), *np.zeros((4, 80), dtype=np.int64)])
-    got = {tuple(p.values()) for b in jaccard._group(rows) for p in b.to_pylist()}
-    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if rows[i, 4] != rows[j, 4]
-            and 9 * min(rows[i, 2] - rows[i, 3], rows[j, 2] - rows[j, 3]) >= 4 * (rows[i, 2] + rows[j, 2])}
+    rows = np.column_stack([np.full(80, 5), r.permutation(80), np.zeros(80, dtype=np.int64), r.integers(40, 60, 80), r.integers(0, 12, 80), r.integers(0, 6, 80)])
+    got = {(a, b) for pairs in jaccard._group(rows) for a, _, b, _ in pairs.tolist()}
+    want = {(min(rows[i, 1], rows[j, 1]), max(rows[i, 1], rows[j, 1])) for i in range(80) for j in range(i) if rows[i, 5] != rows[j, 5]
+            and 9 * min(rows[i, 3] - rows[i, 4], rows[j, 3] - rows[j, 4]) >= 4 * (rows[i, 3] + rows[j, 3])}
     assert got == want
+
+
+def test_sketches_never_say_too_much():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        pool = np.unique(r.integers(0, 1 << 63, r.integers(4, 900), dtype=np.uint64))
+        a, b = (np.unique(r.choice(pool, r.integers(1, len(pool) + 1))) for _ in range(2))
+        far = len(np.setxor1d(a, b))
+        assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= far
+        assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(a)) == 0
+
+
+def test_runs_come_out_as_they_went_in():
+    nodes = np.array([[7, -8, 40], [5, 6, 50], [1, 2, 60]])
+    entries = np.array([(3, 2, 0), (9, 0, 1), (1 << 63, 2, 5)], dtype=jaccard._IN_RUN)
+    got = jaccard._unpacked(jaccard._packed(entries, nodes))
+    assert got.tolist() == [(3, 1, 2, 60, 0), (9, 7, -8, 40, 1), (1 << 63, 1, 2, 60, 5)]
+
+
+def test_repeated_rows_and_other_columns(spark):
+    base = " ".join(words(random.Random(9), 200))
+    rows = [(5, base, "b"), (5, base, "b"), (5, base, "a"), (7, base + " end", "c"), (None, base, "d"), (None, "alone here", "e"), (None, "alone here", "e"), (9, None, "f"), (3, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").withColumn("n", F.lit(1)).withColumn("root", F.lit("x"))
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id) == [(3, ""), (5, base)]
+    assert [r.text for r in got.collect() if r.doc_id is None] == ["alone here"]
+    assert simhash.keep_first(docs.where("false")).count() == 0

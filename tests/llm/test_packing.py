@@ -81,7 +81,8 @@ def test_the_query(spark, tokenizer):
 
 
 def test_copies_stand_together(spark):
-    base = [" ".join(f"w{k}" for k in random.Random(i).sample(range(3000), 400)) for i in range(60)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = [" ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(200)) for r in map(random.Random, range(60))]
     docs = [(i, base[i % 60] + (" more" if i >= 60 else "")) for i in range(120)]
     rows = packing.packed(spark.createDataFrame(docs, "doc_id long, text string"), length=1 << 20).collect()
     where = {r.doc_id: (r.sequence_id, r.offset) for r in rows}
