@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_right
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -30,8 +32,8 @@ from keepsake.sources.tables import spread
 
 DIMENSIONS, BITS = 4, 15
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words, and parts of words, that a worker remembers with their ids, slots of a hashed vector, and bytes of ids given out at a time.
-KNOWN, SLOTS, CHUNK = 700_000, 1 << 16, 1 << 23
+#: Words and pre-tokens that a worker remembers with their ids, slots of a hashed vector, and bytes of ids given out at a time.
+WORDS, PARTS, SLOTS, CHUNK = 400_000, 1_100_000, 1 << 16, 1 << 23
 #: The tokenizer's pre-tokens (a fixed value) and the letters that stand for bytes in its vocabulary, by its rule: printable ones for themselves, the others from 256 on.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,13 +60,14 @@ class Encoder(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if word.isalpha():  # from A to Z
-            ids = self.part(text.lower())
+        stem = text.rstrip(".,;:!?")
+        if stem.isalpha() and _PLAIN.fullmatch(stem):  # what most words are
+            ids = self.part(stem.lower()) + (self.part(text[len(stem):]) if len(stem) < len(text) else b"")
         elif _PLAIN.fullmatch(text) and "<|" not in text:
             ids = b"".join(map(self.part, PATTERN.findall(text.lower())))
         else:
             ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) >= KNOWN:
+        if len(self) >= WORDS:
             self.clear()
         self[word] = ids
         return ids
@@ -73,7 +76,7 @@ class Encoder(dict):
         """The ids of a pre-token of plain letters in lower case."""
         ids = self.parts.get(token)
         if ids is None:
-            if len(self.parts) >= KNOWN:
+            if len(self.parts) >= PARTS:
                 self.parts.clear()
             letters = token if token.isascii() else "".join(map(_LETTERS.__getitem__, token.encode()))
             ids = self.parts[token] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
@@ -196,7 +199,7 @@ def packed(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col
     rows = encoded(pick(docs, doc_id=F.col(id_col).cast("long"), text=text_col), tokenizer, end_id)
     placed, total = starts(rows.select("row", "key", "doc_id", "mark", "n"))
     full = total // length
-    ends = np.cumsum([full * length, *last_lengths(total % length)])
+    ends = np.cumsum([full * length, *last_lengths(total % length)]).tolist()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches):
@@ -204,11 +207,10 @@ def packed(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col
             made, size = [], 0
             for row, ids, n, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 numbers = np.frombuffer(ids, dtype=f"u{len(ids) // n}").astype("<u4")
-                edges = np.arange((at // length + 1) * length, min(at + n, full * length), length)
-                edges = np.unique(np.r_[at, edges, ends[(ends > at) & (ends < at + n)], at + n])
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    k = int(np.searchsorted(ends, a, "right"))  # 0: in a full sequence
-                    sequence, offset = divmod(a, length) if not k else (full + k - 1, a - int(ends[k - 1]))
+                edges = [at, *range((at // length + 1) * length, min(at + n, full * length), length), *(e for e in ends if at < e < at + n), at + n]
+                for a, b in pairwise(edges):
+                    k = bisect_right(ends, a)  # 0: in a full sequence
+                    sequence, offset = divmod(a, length) if not k else (full + k - 1, a - ends[k - 1])
                     made.append((row, a - at, b - a, numbers[a - at:b - at].tobytes(), n, sequence, offset))
                 size += 4 * n
                 if size > CHUNK:

@@ -92,7 +92,8 @@ def test_copies_stand_together(spark):
 
 
 def test_many_words_are_forgotten_and_learnt_again(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "KNOWN", 5)
+    monkeypatch.setattr(packing, "WORDS", 5)
+    monkeypatch.setattr(packing, "PARTS", 3)
     coder = packing.Encoder(packing.TOKENIZER)
     for t in ["a b c", "d e f", "a b c d e f g h", "h a"]:
         assert np.frombuffer(coder.encode(t)[0], coder.width).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
