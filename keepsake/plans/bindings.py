@@ -20,15 +20,14 @@ from keepsake.sources.tables import spread, table
 NAME_WORD = r"\p{Lu}\p{Ll}{3,}"
 
 
-def ten_digits(number: Column) -> Column:
-    """At least ten digits; longer numbers stay whole, so ids never merge."""
-    digits = number.cast("string")
-    return F.when(F.length(digits) > 10, digits).otherwise(F.lpad(digits, 10, "0"))
+def padded(number: Column) -> Column:
+    """A number as text of 19 digits, as long as numbers get: ids never merge, and are in the order of the numbers."""
+    return F.lpad(number.cast("string"), 19, "0")
 
 
 def by_digits(column: str) -> list[Column]:
-    """Buckets of ten-digit ids: ten thousand groups, then a thousand groups of a thousand ids each."""
-    return [F.substring(column, 1, 4), F.substring(column, 5, 3)]
+    """Buckets of padded numbers: groups of a million ids, then of a thousand."""
+    return [F.substring(column, 1, 13), F.substring(column, 14, 3)]
 
 
 def by_hex(column: str) -> list[Column]:
@@ -84,7 +83,7 @@ class Views:
                  .when(precision == "month", F.date_format("o_orderdate", "yyyy-MM"))
                  .otherwise(F.date_format("o_orderdate", "yyyy")))
         rows = d.join(lab, "doc_id", "left").join(orders, "doc_id", "left").select(
-            ten_digits(c("doc_id")).alias("id"), "doc_id", "text", "lang", "source", "n_chars",
+            padded(c("doc_id")).alias("id"), "doc_id", "text", "lang", "source", "n_chars",
             pick(c("lang"), {"en": "newspaper_clipping", "fr": "photograph", "de": "letter"}, "document").alias("type"),
             title_of("text").alias("title"),
             F.when(c("toxic") == 1, "rejected").when(c("quality") == 1, "approved")
@@ -102,7 +101,7 @@ class Views:
     def hashed(self) -> DataFrame:
         """(id, hash, head, lang): the little of each text that finding copies needs, written down; ``head`` is the hash of the whole first line."""
         rows = spread(self.t("documents")).select(
-            ten_digits(F.col("doc_id")).alias("id"), content_hash(F.col("text")).alias("hash"),
+            padded(F.col("doc_id")).alias("id"), content_hash(F.col("text")).alias("hash"),
             content_hash(first_line("text")).alias("head"), "lang")
         return cut(rows)
 
@@ -125,12 +124,12 @@ class Views:
     @cached_property
     def mentions(self) -> DataFrame:
         d = self.t("documents")
-        words = spread(d).select(ten_digits(F.col("doc_id")).alias("item_id"), F.col("doc_id").alias("arrival"),
+        words = spread(d).select(padded(F.col("doc_id")).alias("item_id"), F.col("doc_id").alias("arrival"),
                          F.posexplode(F.regexp_extract_all("text", F.lit(NAME_WORD), F.lit(0))).alias("pos", "name"))
         people = words.select("item_id", "arrival", F.lit("person").alias("kind"), "name", F.col("pos").cast("long"))
 
         def single(kind: str, name: Column, rows: DataFrame) -> DataFrame:
-            return rows.select(ten_digits(F.col("doc_id")).alias("item_id"), F.col("doc_id").alias("arrival"),
+            return rows.select(padded(F.col("doc_id")).alias("item_id"), F.col("doc_id").alias("arrival"),
                                F.lit(kind).alias("kind"), name.alias("name"), F.lit(0).cast("long").alias("pos"))
 
         lab = self.t("labels")
@@ -220,7 +219,7 @@ class Views:
     def versions(self) -> DataFrame:
         c = F.col
         return self.t("events").select(
-            ten_digits(c("user_id")).alias("item_id"), c("event_id").alias("id"),
+            padded(c("user_id")).alias("item_id"), c("event_id").alias("id"),
             (c("event_type") == "error").alias("superseded"), F.lit("model").alias("provider"),
             pick(c("event_type"), {"click": "one", "view": "two"}, "three").alias("model"),
             c("event_type").alias("item_type"), c("props").alias("title"),
@@ -238,7 +237,7 @@ class Views:
         c = F.col
 
         def turn_id(turn: Column) -> Column:
-            return F.format_string("%08d-%02d", c("conv_id"), turn)
+            return F.format_string("%019d-%019d", c("conv_id"), turn)
 
         return self.t("conversations").select(
             turn_id(c("turn")).alias("id"), "conv_id", "turn", "text", "role",
@@ -272,7 +271,7 @@ class Views:
         edges = F.filter(F.array(F.lit(320), F.when(c("n_chars") >= 200, 800), F.when(c("n_chars") >= 2000, 1600)),
                          lambda s: s.isNotNull())
         return self.t("documents").select(
-            ten_digits(c("doc_id")).alias("item_id"), c("n_chars"), F.explode(edges.cast("array<long>")).alias("long_edge")
+            padded(c("doc_id")).alias("item_id"), c("n_chars"), F.explode(edges.cast("array<long>")).alias("long_edge")
         ).select("item_id", "long_edge", F.concat(F.lit("media/"), "item_id", F.lit("-"), c("long_edge").cast("string"),
                                                   F.lit(".webp")).alias("path"),
                  (c("n_chars") + c("long_edge")).alias("bytes"))
@@ -286,7 +285,7 @@ def actions_of(events: DataFrame) -> DataFrame:
     c = F.col
     action = pick(c("event_type"), {"signup": "approve", "purchase": "reject", "error": "recrop", "click": "rotate"},
                   "edit")
-    return events.select(ten_digits(c("user_id")).alias("item_id"), c("ts").alias("at"), c("event_id").alias("seq"),
+    return events.select(padded(c("user_id")).alias("item_id"), c("ts").alias("at"), c("event_id").alias("seq"),
                          action.alias("action"), (90 * (c("event_id") % 4)).cast("long").alias("degrees"))
 
 
@@ -322,7 +321,7 @@ ORDER_PRECISION = """CASE o.o_orderpriority WHEN '1-URGENT' THEN 'day' WHEN '2-H
  WHEN '3-MEDIUM' THEN 'year' WHEN '4-NOT SPECIFIED' THEN 'decade' ELSE 'unknown' END"""
 RECORDS = f"""
 records0 AS (
- SELECT printf('%010d', d.doc_id) AS id, d.doc_id, d.text, d.lang, d.source, d.n_chars,
+ SELECT printf('%019d', d.doc_id) AS id, d.doc_id, d.text, d.lang, d.source, d.n_chars,
   CASE d.lang WHEN 'en' THEN 'newspaper_clipping' WHEN 'fr' THEN 'photograph' WHEN 'de' THEN 'letter'
    ELSE 'document' END AS type,
   left({FIRST_LINE}, 300) AS title, sha256({FIRST_LINE}) AS head,
@@ -375,7 +374,7 @@ mentions0 AS (
  UNION ALL SELECT doc_id, 'place', lang, 0 FROM documents
  UNION ALL SELECT doc_id, 'topic', CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END, 0
   FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),
-mentions AS (SELECT printf('%010d', doc_id) AS item_id, doc_id, kind, name, pos, """ + SLUG_MACRO.format("name") + r""" AS slug
+mentions AS (SELECT printf('%019d', doc_id) AS item_id, doc_id, kind, name, pos, """ + SLUG_MACRO.format("name") + r""" AS slug
  FROM mentions0),
 links AS (SELECT DISTINCT item_id, kind, slug FROM mentions WHERE slug <> ''),
 ents AS (SELECT kind, slug, arg_min(name, (doc_id, pos)) AS name FROM mentions WHERE slug <> '' GROUP BY ALL)"""
@@ -412,12 +411,12 @@ boxes AS (SELECT photo, seq, x0, y0, least(x0 + w, 599) AS x1, least(y0 + h, 599
 predicted AS (SELECT photo, seq, x0 + shift * 3 AS x0, y0 + shift AS y0, x1 + shift * 3 AS x1, y1 + shift AS y1
  FROM boxes WHERE method <> 'threshold')"""
 VERSIONS = """
-versions AS (SELECT printf('%010d', user_id) AS item_id, event_id AS id, event_type = 'error' AS superseded,
+versions AS (SELECT printf('%019d', user_id) AS item_id, event_id AS id, event_type = 'error' AS superseded,
  'model' AS provider, CASE event_type WHEN 'click' THEN 'one' WHEN 'view' THEN 'two' ELSE 'three' END AS model,
  event_type AS item_type, props AS title, CASE WHEN value < 5 THEN '' ELSE CAST(value AS VARCHAR) END AS summary,
  FALSE AS needs_human_review, CAST(NULL AS VARCHAR) AS review_reason FROM events)"""
 ACTIONS = """
-actions AS (SELECT printf('%010d', user_id) AS item_id, ts AS "at", event_id AS seq,
+actions AS (SELECT printf('%019d', user_id) AS item_id, ts AS "at", event_id AS seq,
  CASE event_type WHEN 'signup' THEN 'approve' WHEN 'purchase' THEN 'reject' WHEN 'error' THEN 'recrop'
   WHEN 'click' THEN 'rotate' ELSE 'edit' END AS action, 90 * (event_id % 4) AS degrees FROM events)"""
 FILES = """
@@ -427,10 +426,10 @@ remote_files AS (SELECT 'pages/' || page_id || '.html' AS path, length(h) AS siz
    WHERE NOT contains(html, 'lang="fr"'))
  UNION ALL SELECT 'notes/' || item_id || '.txt', length(text), sha256(text) FROM benchmark)"""
 DERIVATIVES = """
-derivatives AS (SELECT printf('%010d', doc_id) AS item_id, CAST(e AS BIGINT) AS long_edge,
- 'media/' || printf('%010d', doc_id) || '-' || e || '.webp' AS path, n_chars + e AS bytes
+derivatives AS (SELECT printf('%019d', doc_id) AS item_id, CAST(e AS BIGINT) AS long_edge,
+ 'media/' || printf('%019d', doc_id) || '-' || e || '.webp' AS path, n_chars + e AS bytes
  FROM documents, (VALUES (320, 0), (800, 200), (1600, 2000)) AS s(e, least_chars) WHERE n_chars >= least_chars)"""
 TURNS = """
-turns AS (SELECT printf('%08d-%02d', conv_id, turn) AS id, conv_id, turn, text, role,
- CASE WHEN turn > 0 THEN printf('%08d-%02d', conv_id, 0) END AS part_of,
- CASE WHEN turn > 0 THEN printf('%08d-%02d', conv_id, turn - 1) END AS after FROM conversations)"""
+turns AS (SELECT printf('%019d-%019d', conv_id, turn) AS id, conv_id, turn, text, role,
+ CASE WHEN turn > 0 THEN printf('%019d-%019d', conv_id, 0) END AS part_of,
+ CASE WHEN turn > 0 THEN printf('%019d-%019d', conv_id, turn - 1) END AS after FROM conversations)"""

@@ -99,13 +99,13 @@ def duplicates_dropped(v: Views) -> DataFrame:
   regexp_replace(COALESCE(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (text <> ''), ''), '^\\s+|\\s+$', '', 'g') AS body
  FROM texts GROUP BY ALL""")
 def conversation_entries(v: Views) -> DataFrame:
-    return C.fold(v.turns, [F.substring("id", 1, 8), F.substring("id", 10, 1)], chains=False).parts
+    return C.fold(v.turns, [F.substring("id", 1, 19), F.substring("id", 21, 13), F.substring("id", 34, 3)], chains=False).parts
 
 
 @query("chain_roots", """WITH RECURSIVE t AS (SELECT conv_id, turn FROM conversations),
  r AS (SELECT conv_id, turn, turn AS root FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1)
   UNION ALL SELECT t.conv_id, t.turn, r.root FROM t JOIN r ON t.conv_id = r.conv_id AND t.turn = r.turn + 1)
- SELECT printf('%08d-%02d', conv_id, turn) AS id, printf('%08d-%02d', conv_id, root) AS root FROM r""")
+ SELECT printf('%019d-%019d', conv_id, turn) AS id, printf('%019d-%019d', conv_id, root) AS root FROM r""")
 def chain_roots(v: Views) -> DataFrame:
     """Each turn points at the one before it; the chain ends where a turn is missing."""
     return resolve_roots(v.turns.select("id", "after"), "id", "after")

@@ -12,7 +12,7 @@ from keepsake.plans.registry import query
 from keepsake.sources.files import captured_at, is_photo, kept_tags
 
 CANDIDATES = """
-candidates AS (SELECT source || '/' || printf('%010d', doc_id) || '.txt' AS path, sha256(text) AS hash,
+candidates AS (SELECT source || '/' || printf('%019d', doc_id) || '.txt' AS path, sha256(text) AS hash,
  n_chars >= 50 AS readable, n_chars AS width, 1000 + doc_id AS height FROM documents),
 ledger AS (SELECT DISTINCT sha256(text) AS hash FROM documents JOIN labels USING (doc_id)),
 outcomes AS (SELECT *, CASE WHEN hash IN (SELECT hash FROM ledger) THEN 'duplicate' WHEN NOT readable THEN 'unreadable'
@@ -28,7 +28,7 @@ safe AS (SELECT arrival, raw, CASE WHEN base NOT LIKE '.%' AND regexp_matches(lo
 
 def candidates(v: Views) -> DataFrame:
     return v.t("documents").select(
-        F.concat("source", F.lit("/"), F.format_string("%010d", "doc_id"), F.lit(".txt")).alias("path"),
+        F.concat("source", F.lit("/"), F.format_string("%019d", "doc_id"), F.lit(".txt")).alias("path"),
         L.content_hash(F.col("text")).alias("hash"), (F.col("n_chars") >= 50).alias("readable"),
         F.col("n_chars").alias("width"), (F.col("doc_id") + 1000).alias("height"))
 

@@ -11,7 +11,7 @@ from keepsake.functions.slug import slugify
 from keepsake.operators import inference as I
 from keepsake.operators import versions as V
 from keepsake.operators.normalise import decide_review, normalise
-from keepsake.plans.bindings import RECORDS, SLUG_MACRO, VERSIONS, Views, by_range, first_line, ten_digits
+from keepsake.plans.bindings import RECORDS, SLUG_MACRO, VERSIONS, Views, by_range, padded, title_of
 from keepsake.plans.registry import query
 from keepsake.session import cut
 from keepsake.sources.tables import spread
@@ -81,7 +81,7 @@ def review_decisions(v: Views) -> DataFrame:
 @query("title_slugs", f"WITH {RECORDS}, s AS (SELECT id, title, {SLUG_MACRO.format('title')} AS slug FROM records) "
        r"SELECT id, CASE WHEN slug <> '' THEN slug ELSE regexp_replace(lower(title), '\s+', '-', 'g') END AS slug FROM s")
 def title_slugs(v: Views) -> DataFrame:
-    return spread(v.t("documents")).select(ten_digits(F.col("doc_id")).alias("id"), first_line("text").alias("title")).select(
+    return spread(v.t("documents")).select(padded(F.col("doc_id")).alias("id"), title_of("text").alias("title")).select(
         "id", slugify(F.col("title")).alias("slug"))
 
 
@@ -102,7 +102,7 @@ CURRENT = VERSIONS + """,
 live AS (SELECT * FROM versions v WHERE NOT superseded AND id = (SELECT max(id) FROM versions w
  WHERE w.item_id = v.item_id AND NOT w.superseded))"""
 EDITS = """
-edits AS (SELECT printf('%010d', user_id) AS item_id, max(event_id) + 1000000000 AS version_id,
+edits AS (SELECT printf('%019d', user_id) AS item_id, max(event_id) + 1000000000 AS version_id,
  arg_max(props, event_id) AS title, arg_max(event_type, event_id) AS item_type FROM events
  WHERE event_type IN ('error', 'signup') GROUP BY user_id)"""
 
@@ -111,7 +111,7 @@ def edits(v: Views) -> DataFrame:
     """Each user's last error or signup, as a correction of title and type."""
     e = v.t("events").where(F.col("event_type").isin("error", "signup"))
     last = e.groupBy("user_id").agg(F.max(F.struct("event_id", "props", "event_type")).alias("e"))
-    return last.select(F.format_string("%010d", "user_id").alias("item_id"),
+    return last.select(F.format_string("%019d", "user_id").alias("item_id"),
                        (F.col("e.event_id") + 1000000000).alias("version_id"),
                        F.create_map(F.lit("title"), F.col("e.props"), F.lit("item_type"), F.col("e.event_type")).alias("fields"))
 
@@ -181,7 +181,7 @@ def local_reader():
 
 
 READ = r"""
-jobs AS (SELECT printf('%010d', doc_id) AS item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws,
+jobs AS (SELECT printf('%019d', doc_id) AS item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws,
  lang FROM documents),
 res AS (SELECT item_id, lang, len(ws) >= 20 AS ok, CASE WHEN len(ws) >= 20 THEN len(ws) || ' words, first ' || ws[1] END AS reply,
  CASE WHEN len(ws) = 0 THEN 'ValueError: nothing to read' WHEN len(ws) < 20 THEN 'LookupError: too little to read' END AS error
@@ -189,7 +189,7 @@ res AS (SELECT item_id, lang, len(ws) >= 20 AS ok, CASE WHEN len(ws) >= 20 THEN
 
 
 def jobs(v: Views) -> DataFrame:
-    return v.t("documents").select(F.format_string("%010d", "doc_id").alias("item_id"), F.col("text").alias("context"))
+    return v.t("documents").select(F.format_string("%019d", "doc_id").alias("item_id"), F.col("text").alias("context"))
 
 
 @query("batch_inference", f"WITH {READ} SELECT item_id, ok, reply, error FROM res")
@@ -203,18 +203,18 @@ def batch_inference(v: Views) -> DataFrame:
 def reconciled_results(v: Views) -> DataFrame:
     """Results that came back for all but the German texts."""
     returned = v.t("documents").where("lang != 'de'").select(
-        F.format_string("%010d", "doc_id").alias("item_id"), F.col("text").alias("context"))
+        F.format_string("%019d", "doc_id").alias("item_id"), F.col("text").alias("context"))
     return I.reconcile(jobs(v), I.run_jobs(returned, local_reader))
 
 
 @query("run_summary", f"""WITH {READ}, o AS (SELECT r.ok, d.n_chars >= 100 AS has_image, d.n_chars % 8 <= 2 AS flagged
- FROM res r JOIN documents d ON r.item_id = printf('%010d', d.doc_id))
+ FROM res r JOIN documents d ON r.item_id = printf('%019d', d.doc_id))
  SELECT count(*) FILTER (has_image) AS attempted, count(*) FILTER (has_image AND ok) AS succeeded,
  count(*) FILTER (NOT (has_image AND ok)) AS failed, count(*) FILTER (has_image AND ok AND flagged) AS flagged FROM o""")
 def run_summary(v: Views) -> DataFrame:
-    d = v.t("documents").select(F.format_string("%010d", "doc_id").alias("item_id"), "n_chars")
+    d = v.t("documents").select(F.format_string("%019d", "doc_id").alias("item_id"), "n_chars")
     with_image = v.t("documents").where("n_chars >= 100").select(
-        F.format_string("%010d", "doc_id").alias("item_id"), F.col("text").alias("context"))
+        F.format_string("%019d", "doc_id").alias("item_id"), F.col("text").alias("context"))
     # Written once, so that the function is not run again by a second reader of its rows.
     results = cut(I.run_jobs(with_image, local_reader))
     rows = d.join(results, "item_id", "left").select(

@@ -18,10 +18,10 @@ def stream(v: Views, name: str) -> DataFrame:
     return S.table_stream(v.spark, f"{v.folder}/{name}.parque[t]", v.t(name).schema)
 
 
-@query("inbox_stream", """SELECT min(source || '/' || printf('%010d', doc_id)) AS path, sha256(text) AS hash FROM documents GROUP BY sha256(text)""")
+@query("inbox_stream", """SELECT min(source || '/' || printf('%019d', doc_id)) AS path, sha256(text) AS hash FROM documents GROUP BY sha256(text)""")
 def inbox_stream(v: Views) -> DataFrame:
     arrivals = stream(v, "documents").select(
-        F.concat("source", F.lit("/"), F.format_string("%010d", "doc_id")).alias("path"),
+        F.concat("source", F.lit("/"), F.format_string("%019d", "doc_id")).alias("path"),
         content_hash(F.col("text")).alias("hash"), F.lit(True).alias("readable"))
     ledger = fresh_path(v.spark, "ledger")
     S.inbox_stream(arrivals, ledger, fresh_path(v.spark, "state")).awaitTermination()
