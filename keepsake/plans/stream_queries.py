@@ -9,7 +9,7 @@ from keepsake.operators.ledger import content_hash
 from keepsake.plans.bindings import Views, actions_of
 from keepsake.plans.registry import query
 from keepsake.plans.workflow_queries import FOLD
-from keepsake.session import fresh_path
+from keepsake.session import KEYED_STATE, fresh_path
 from keepsake.streaming import streams as S
 
 
@@ -25,16 +25,19 @@ def inbox_stream(v: Views) -> DataFrame:
         content_hash(F.col("text")).alias("hash"), F.lit(True).alias("readable"))
     ledger = fresh_path(v.spark, "ledger")
     S.inbox_stream(arrivals, ledger, fresh_path(v.spark, "state")).awaitTermination()
-    return v.spark.read.parquet(ledger).select("path", "hash")
+    return S.ledger(v.spark, ledger).select("path", "hash")
 
 
 @query("review_stream", f"WITH {FOLD}")
 def review_stream(v: Views) -> DataFrame:
-    running = S.review_stream(actions_of(stream(v, "events")))
-    return S.run_to_table(running, fresh_path(v.spark, "review"), fresh_path(v.spark, "state"))
+    with_keyed_state = v.spark.newSession()
+    with_keyed_state.conf.set(*KEYED_STATE)
+    running = S.review_stream(actions_of(stream(Views(with_keyed_state, v.folder), "events")))
+    path = fresh_path(v.spark, "review")
+    return S.run_to_table(running, path, fresh_path(v.spark, "state"), ["item_id"])[0]
 
 
 @query("live_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
 def live_counts(v: Views) -> DataFrame:
     counts = S.count_stream(stream(v, "events"), "event_type")
-    return S.run_to_table(counts, fresh_path(v.spark, "counts"), fresh_path(v.spark, "state"))
+    return S.run_to_table(counts, fresh_path(v.spark, "counts"), fresh_path(v.spark, "state"), ["event_type"])[0]

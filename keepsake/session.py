@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What the review stream asks of a session: keyed state lives in RocksDB.
+KEYED_STATE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     return (
@@ -16,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config(*KEYED_STATE)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -1,20 +1,20 @@
 """Arrivals, review decisions and live counts as Structured Streaming queries.
 
-All state is kept by built-in aggregates or by the ledger table, so one hot
-item or content is combined before it is shuffled, like in batch.
+State is kept by key: in built-in aggregates for arrivals and counts, in a processor of its own for review. What one batch brings of a hot
+item or content is combined before it is shuffled, and a batch writes the keys that it touched only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from keepsake.operators.ledger import intake, new_ledger_rows
-from keepsake.operators.workflow import fold_actions
+from keepsake.operators.workflow import STATUS_AFTER
 
 
 def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -23,49 +23,121 @@ def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_b
 
 def inbox_stream(arrivals: DataFrame, ledger_path: str, state: str,
                  known: DataFrame | None = None) -> StreamingQuery:
-    """Add each content once to the ledger table below ``ledger_path``.
+    """Follow the arrivals (path, hash, readable, ...) and write each content's first path to the table below ``ledger_path``.
 
-    ``arrivals``: path, hash, readable. Each micro-batch is written to its own
-    folder and compared with all earlier folders only, so a batch that is
-    replayed after a failure gives the same rows again.
+    The state is the least path of each content met so far, kept by an aggregate that combines before it shuffles; a batch touches the
+    contents that it brings only. Each batch's touched contents go to a folder of their own, which a replay overwrites with the same
+    rows. Contents in ``known`` (hash) stay out. ``ledger`` reads the table: the winner of a content is the least of all its paths, however the files are cut into batches.
     """
+    first = first_arrivals(arrivals)
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = [known.select("hash")] if known is not None else []
-        if batch_id > 0:
-            earlier = spark.read.schema(batch.schema).option("basePath", ledger_path).parquet(
-                *[f"{ledger_path}/batch={i}" for i in range(batch_id)])
-            seen.append(earlier.select("hash"))
-        ledger = seen[0] if seen else batch.select("hash").limit(0)
-        for more in seen[1:]:
-            ledger = ledger.unionByName(more)
-        fresh = new_ledger_rows(intake(batch, ledger)).drop("outcome")
+        fresh = batch if known is None else batch.join(known.select("hash"), "hash", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
 
-    return (arrivals.writeStream.foreachBatch(take).option("checkpointLocation", state)
+    return (first.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", state)
             .trigger(availableNow=True).start())
 
 
-def review_stream(actions: DataFrame) -> DataFrame:
-    """Running state per item of an action stream; same result as the batch fold, in any order of arrival."""
-    return fold_actions(actions)
+def first_arrivals(arrivals: DataFrame) -> DataFrame:
+    """The row of the least path of each readable content."""
+    row = F.struct("path", *[c for c in arrivals.columns if c not in ("path", "hash")])
+    return (arrivals.where("readable and hash is not null").groupBy("hash").agg(F.min(row).alias("first"))
+            .select(*[F.col("hash") if c == "hash" else F.col(f"first.{c}") for c in arrivals.columns]))
+
+
+def ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """One row per content: that of its least path in any batch."""
+    return first_arrivals(spark.read.parquet(ledger_path).drop("batch"))
+
+
+_STEP = "item_id string, at timestamp, status_at timestamp, status_seq long, status string, turned long, cleared boolean, deleted boolean, n long"
+_STATE = "status_at timestamp, status_seq long, status string, turned long, cleared boolean, deleted boolean, n long"
+_REVIEW = "item_id string, status string, rotation long, flag_cleared boolean, deleted boolean, n_actions long"
+
+
+def _later(rows: pd.DataFrame) -> tuple:
+    """(status_at, status_seq, status) of the latest of the rows that set a status."""
+    some = rows[rows["status"].notna()]
+    if not len(some):
+        return pd.NaT, None, None
+    last = some.sort_values(["status_at", "status_seq"], kind="stable").iloc[-1]
+    return last["status_at"], int(last["status_seq"]), last["status"]
+
+
+def steps(actions: DataFrame, within: str = "1h") -> DataFrame:
+    """What each item's actions (item_id, at, seq, action, degrees) within a span of time come to, worked out where they are read.
+
+    An item that everyone decides on sends one row per task and span to its state instead of every action.
+    """
+
+    def run(frames):
+        for rows in frames:
+            rows = rows.assign(span=rows["at"].dt.floor(within), status=rows["action"].map(STATUS_AFTER), status_at=rows["at"], status_seq=rows["seq"])
+            out = []
+            for (item, _), some in rows.groupby(["item_id", "span"], dropna=False):
+                at, seq, status = _later(some)
+                turned = int(some.loc[some["action"] == "rotate", "degrees"].sum())
+                out.append((item, some["at"].max(), at, seq, status, turned, bool(some["action"].isin(["approve", "reject"]).any()),
+                            bool((some["action"] == "delete").any()), len(some)))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in _STEP.split(", ")])
+
+    return actions.select("item_id", "at", "seq", "action", "degrees").mapInPandas(run, _STEP)
+
+
+class ReviewFold(StatefulProcessor):
+    """An item's state: its latest status by the time of the action (not of its arrival), turns, flags and number of actions."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("review", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = [f.split()[0] for f in _STATE.split(", ")]
+        held = [pd.DataFrame([self.state.get()], columns=columns)] if self.state.exists() else []
+        every = pd.concat([*held, *(r[columns] for r in rows)], ignore_index=True)
+        at, seq, status = _later(every)
+        turned, cleared, deleted, n = int(every["turned"].sum()), bool(every["cleared"].any()), bool(every["deleted"].any()), int(every["n"].sum())
+        self.state.update((None if at is pd.NaT else at, seq, status, turned, cleared, deleted, n))
+        yield pd.DataFrame([(key[0], status, turned % 360, cleared, deleted, n)], columns=[f.split()[0] for f in _REVIEW.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def review_stream(actions: DataFrame, delay: str = "3650 days") -> DataFrame:
+    """The state of each item that an action touches, as the batch fold gives it, in any order of arrival.
+
+    State is kept by item; actions that come more than ``delay`` after later ones are left out (``late_rows`` counts them). Decisions hardly expire, so it is ten years
+    by default. Needs a state store on RocksDB, see ``session.KEYED_STATE``.
+    """
+    return steps(actions).withWatermark("at", delay).groupBy("item_id").transformWithStateInPandas(
+        ReviewFold(), outputStructType=_REVIEW, outputMode="Update", timeMode="EventTime")
+
+
+def late_rows(progress: list) -> int:
+    """Rows that came after the watermark, over all batches."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
 
 
 def count_stream(rows: DataFrame, by: str | Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_to_table(result: DataFrame, path: str, state: str, mode: str = "complete",
-                 shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Drain a stream now and return its final table. Complete mode rewrites the table each batch."""
+def run_to_table(result: DataFrame, path: str, state: str, keys: Sequence[str]) -> tuple[DataFrame, list]:
+    """Drain a stream in update mode now: the last row of each key, and the progress of all batches.
+
+    Each batch writes the keys that it touched to a folder of its own, nothing else.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        out = shape(batch) if shape else batch
-        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = (result.writeStream.outputMode(mode).foreachBatch(save)
+    query = (result.writeStream.outputMode("update").foreachBatch(save)
              .option("checkpointLocation", state).trigger(availableNow=True).start())
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return result.sparkSession.read.parquet(f"{path}/batch={last}")
+    spark = result.sparkSession
+    rows = spark.read.schema(StructType([*result.schema, StructField("batch", LongType())])).option("basePath", path).parquet(f"{path}/batch=*") \
+        if query.recentProgress else spark.createDataFrame([], result.schema).withColumn("batch", F.lit(0))
+    rest = F.struct("batch", *[c for c in result.columns if c not in keys])
+    last = rows.groupBy(*keys).agg(F.max_by(rest, "batch").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}") for c in result.columns]), query.recentProgress
