@@ -2,23 +2,29 @@
 
 Boxes are rows (photo, seq, x0, y0, x1, y1, ...). Pairs are found through grid
 cells, so a photo with very many boxes spreads over its cells and only boxes
-that come near each other ever meet.
+that come near each other ever meet; crowded cells are cut into smaller ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.geometry import Box, containment, iou
-from keepsake.operators.scale import least_ancestor, numbered, side_by_side
+from keepsake.operators.scale import medians, numbered, side_by_side
 from keepsake.schemas import NOTES
+from keepsake.session import cut
 
 CELL = 256
+#: Boxes in a cell from which on it is cut into four.
+CROWD = 4096
 COORDS = ("x0", "y0", "x1", "y1")
 
 
-def _cell(value: Column, size: int) -> Column:
+def _cell(value: Column, size: int | Column) -> Column:
     return F.floor(value / size).cast("long")
 
 
@@ -29,47 +35,80 @@ def _covering(boxes: DataFrame, size: int) -> DataFrame:
     return boxes.withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(rows))
 
 
-def _centred(boxes: DataFrame, size: int) -> DataFrame:
-    return boxes.withColumn("cx", _cell((F.col("x0") + F.col("x1")) / 2, size)).withColumn(
-        "cy", _cell((F.col("y0") + F.col("y1")) / 2, size))
+def _quarters(covering: DataFrame, size: int) -> DataFrame:
+    """The same for cells of half the size, within the cells given."""
+    def inside(cell: str, low: str, high: str) -> Column:
+        first, last = F.greatest(2 * F.col(cell), _cell(F.col(low), size)), F.least(2 * F.col(cell) + 1, _cell(F.col(high), size))
+        return F.explode(F.sequence(first, last))
+
+    return covering.withColumn("__x", inside("cx", "x0", "x1")).withColumn("__y", inside("cy", "y0", "y1")).drop("cx", "cy").withColumnsRenamed(
+        {"__x": "cx", "__y": "cy"})
+
+
+def _leaves(sides: Sequence[DataFrame], size: int, crowd: int) -> list[DataFrame]:
+    """One row per leaf cell (size, cx, cy) that a box touches; the leaves are the same for all ``sides``.
+
+    A cell that more than ``crowd`` boxes touch is cut into four until none is, or it is one pixel wide. Photos with fewer boxes have plain cells.
+    """
+    key = ["photo", "cx", "cy"]
+    boxes = reduce(DataFrame.unionByName, [s.select("photo") for s in sides])
+    most = boxes.groupBy("photo").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    held, done = [_covering(s, size) for s in sides], []
+    while True:
+        hot = None
+        if most > crowd and size > 1:
+            cells = reduce(DataFrame.unionByName, [h.select(*key) for h in held])
+            hot = cut(cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).drop("n"))
+            hot = None if hot.isEmpty() else hot
+        done.append([(h if hot is None else h.join(hot, key, "left_anti")).withColumn("size", F.lit(size)) for h in held])
+        if hot is None:
+            return [reduce(DataFrame.unionByName, parts) for parts in zip(*done)]
+        size //= 2
+        held = [cut(_quarters(h.join(hot, key, "left_semi"), size)) for h in held]
+
+
+def _centres_and_leaves(boxes: DataFrame, size: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Each box in the leaf that holds its centre, and each box in all leaves that it touches.
+
+    A box more than half of which lies in another has its centre there, so it is looked up in one leaf only.
+    """
+    leaves = _leaves([boxes], size, crowd)[0]
+    middle = [_cell((F.col(f"{c}0") + F.col(f"{c}1")) / 2, F.col("size")) == F.col(f"c{c}") for c in "xy"]
+    return leaves.where(middle[0] & middle[1]), leaves
 
 
 def _renamed(boxes: DataFrame, prefix: str) -> DataFrame:
-    keep = ("photo", "cx", "cy")
-    return boxes.select(*keep, *[F.col(c).alias(prefix + c) for c in boxes.columns if c not in keep])
+    keep = ("photo", "size", "cx", "cy")
+    return boxes.select(*[c for c in keep if c in boxes.columns], *[F.col(c).alias(prefix + c) for c in boxes.columns if c not in keep])
 
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, size: int = CELL) -> DataFrame:
+def overlapping_pairs(left: DataFrame, right: DataFrame, size: int = CELL, crowd: int = CROWD) -> DataFrame:
     """Pairs of one photo whose boxes overlap, once each: columns a_* and b_* plus photo.
 
     A pair meets in the one cell that holds the top-left corner of its overlap.
     """
     a, b = Box.of(prefix="a_"), Box.of(prefix="b_")
-    pairs = _renamed(_covering(left, size), "a_").join(
-        _renamed(_covering(right, size), "b_"), ["photo", "cx", "cy"])
-    home = (_cell(F.greatest(a.x0, b.x0), size) == F.col("cx")) & (
-        _cell(F.greatest(a.y0, b.y0), size) == F.col("cy"))
-    return pairs.where(a.meets(b) & home).drop("cx", "cy")
+    left, right = _leaves([left, right], size, crowd)
+    pairs = _renamed(left, "a_").join(_renamed(right, "b_"), ["photo", "size", "cx", "cy"])
+    home = (_cell(F.greatest(a.x0, b.x0), F.col("size")) == F.col("cx")) & (
+        _cell(F.greatest(a.y0, b.y0), F.col("size")) == F.col("cy"))
+    return pairs.where(a.meets(b) & home).drop("size", "cx", "cy")
 
 
-def contained_pairs(inner: DataFrame, outer: DataFrame, share: float, size: int = CELL) -> DataFrame:
-    """Pairs where more than ``share`` (at least a half) of ``a`` lies inside ``b``.
+_LEAF = ("photo", "size", "cx", "cy")
 
-    Such a ``b`` must cover the centre of ``a``, so ``a`` is looked up in one cell only.
-    """
-    pairs = _renamed(_centred(inner, size), "a_").join(
-        _renamed(_covering(outer, size), "b_"), ["photo", "cx", "cy"])
-    return pairs.where(containment(Box.of(prefix="a_"), Box.of(prefix="b_")) > share).drop("cx", "cy")
 
+def _same_leaf(left: str, right: str) -> Column:
+    return reduce(Column.__and__, [F.col(f"{left}.{c}") == F.col(f"{right}.{c}") for c in _LEAF])
 
-def collisions(boxes: DataFrame, share: float = 0.70, size: int = CELL) -> DataFrame:
-    """Boxes at least ``share`` of which lies inside another box of the photo. No pairs are formed."""
-    mine = _centred(boxes, size).alias("m")
-    other = _covering(boxes.select("photo", "seq", *COORDS), size).alias("o")
-    same_cell = [F.col(f"m.{c}") == F.col(f"o.{c}") for c in ("photo", "cx", "cy")]
+
+def collisions(boxes: DataFrame, share: float = 0.70, size: int = CELL, crowd: int = CROWD) -> DataFrame:
+    """Boxes at least ``share`` (more than a half) of which lies inside another box of the photo. No pairs are formed."""
+    mine, other = _centres_and_leaves(boxes, size, crowd)
+    mine, other = mine.alias("m"), other.select(*_LEAF, "seq", *COORDS).alias("o")
     inside = containment(Box.of("m"), Box.of("o")) >= share
-    hit = mine.join(other, [*same_cell, F.col("m.seq") != F.col("o.seq"), inside], "left_semi")
-    return hit.drop("cx", "cy")
+    hit = mine.join(other, _same_leaf("m", "o") & (F.col("m.seq") != F.col("o.seq")) & inside, "left_semi")
+    return hit.drop("size", "cx", "cy")
 
 
 def best_matches(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -92,8 +131,7 @@ def evaluation(matches: DataFrame, threshold: float = 0.8) -> DataFrame:
     scenes = per_photo.agg(
         F.sum("items").alias("items"), F.sum("found").alias("found"), F.count(F.lit(1)).alias("photos"),
         F.count_if(F.col("items") == F.col("found")).alias("complete_photos"))
-    middle = matches.agg(F.median("iou").alias("median_iou"))
-    return side_by_side(scenes, middle).withColumn("recall", F.col("found") / F.col("items"))
+    return side_by_side(scenes, medians(matches, [], F.col("iou"), "median_iou")).withColumn("recall", F.col("found") / F.col("items"))
 
 
 def shape_filter(candidates: DataFrame, min_area: float = 0.015, max_area: float = 0.90,
@@ -118,18 +156,41 @@ def drop_swallowers(boxes: DataFrame, smaller: float = 0.65, inside: float = 0.8
     Going through the held boxes from the largest down, a second distinct one
     exists just when some held box is apart from the largest.
     """
-    slim = boxes.select("photo", "seq", *COORDS, "area_frac")
-    held = contained_pairs(slim, slim, inside).where(
-        (F.col("a_seq") != F.col("b_seq")) & (F.col("a_area_frac") < F.col("b_area_frac") * smaller))
+    slim = cut(boxes.select("photo", "seq", *COORDS, "area_frac"))
+    a, b = Box.of(prefix="a_"), Box.of(prefix="b_")
+    is_held = (F.col("a_seq") != F.col("b_seq")) & (F.col("a_area_frac") < F.col("b_area_frac") * smaller) & (containment(a, b) > inside)
+    centres, leaves = _centres_and_leaves(slim, CELL, CROWD)
+    centres = _renamed(centres, "a_")
+    # Each pair is one step of an aggregate or of a semi join; none is kept.
     size = F.struct("a_area_frac", (-F.col("a_seq")).alias("s"), *[f"a_{c}" for c in COORDS])
-    largest = held.groupBy("photo", "b_seq").agg(F.max(size).alias("big"))
-    big = Box(*[F.col(f"big.a_{c}") for c in COORDS])
-    swallowers = (
-        held.join(largest, ["photo", "b_seq"])
-        .where((F.col("a_seq") != -F.col("big.s")) & (iou(Box.of(prefix="a_"), big) < apart))
-        .select("photo", F.col("b_seq").alias("seq")).distinct()
-    )
-    return boxes.join(swallowers, ["photo", "seq"], "left_anti")
+    largest = centres.join(_renamed(leaves, "b_"), list(_LEAF)).where(is_held).groupBy("photo", F.col("b_seq").alias("seq")).agg(F.max(size).alias("big"))
+    big = Box(*[F.col(f"b_big.a_{c}") for c in COORDS])
+    outer = _renamed(leaves.join(cut(largest), ["photo", "seq"]), "b_").alias("o")
+    another = is_held & (F.col("a_seq") != -F.col("b_big.s")) & (iou(a, big) < apart)
+    swallowers = outer.join(centres.alias("i"), _same_leaf("o", "i") & another, "left_semi")
+    return boxes.join(swallowers.select("photo", F.col("b_seq").alias("seq")).distinct(), ["photo", "seq"], "left_anti")
+
+
+def _least_labels(boxes: DataFrame, threshold: float) -> DataFrame:
+    """(photo, node, label) of ``boxes`` (photo, node, coordinates): the least node that overlaps with ever smaller ones lead to.
+
+    Labels spread in rounds: a box takes the least label of the smaller nodes that it overlaps, met in cells and aggregated there, so pairs are never kept; then its
+    label's own label. Only boxes whose label has just become less spread it further.
+    """
+    a, b = Box.of(prefix="a_"), Box.of(prefix="b_")
+    labels = cut(boxes.withColumn("label", F.col("node")))
+    moved = labels
+    while True:
+        pairs = overlapping_pairs(labels, moved).where((F.col("b_node") < F.col("a_node")) & (F.col("b_label") < F.col("a_label")) & (iou(a, b) > threshold))
+        least = pairs.groupBy("photo", F.col("a_node").alias("node")).agg(F.min("b_label").alias("__less"))
+        nearer = cut(labels.join(least, ["photo", "node"], "left").withColumns(
+            {"__old": F.col("label"), "label": F.coalesce("__less", "label")}).drop("__less"))
+        of_label = nearer.select("photo", F.col("node").alias("label"), F.col("label").alias("__up"))
+        labels = cut(nearer.join(of_label, ["photo", "label"]).withColumns({"__moved": F.col("__up") < F.col("__old"), "label": F.col("__up")}).drop("__up", "__old"))
+        moved = labels.where("__moved").drop("__moved")
+        labels = labels.drop("__moved")
+        if moved.isEmpty():
+            return labels.select("photo", "node", "label")
 
 
 def merge_groups(boxes: DataFrame, threshold: float = 0.35) -> DataFrame:
@@ -142,14 +203,9 @@ def merge_groups(boxes: DataFrame, threshold: float = 0.35) -> DataFrame:
     method come out as 'merged'. Adds ``members``.
     """
     rank = F.struct((-F.col("area_frac")).alias("neg"), F.col("seq").alias("seq"))
-    slim = boxes.select("photo", "seq", *COORDS, rank.alias("node"))
-    near = overlapping_pairs(slim, slim).where(
-        (F.col("b_node") < F.col("a_node")) & (iou(Box.of(prefix="a_"), Box.of(prefix="b_")) > threshold))
-    edges = near.select("photo", F.col("a_node").alias("node"), F.col("b_node").alias("earlier"))
-    labels = least_ancestor(edges, "photo", "node", "earlier")
-    grouped = boxes.withColumn("node", rank).join(labels, ["photo", "node"], "left").withColumn(
-        "lead_seq", F.coalesce(F.col("label.seq"), F.col("seq")))
-    summary = grouped.groupBy("photo", F.col("lead_seq").alias("seq")).agg(
+    labels = _least_labels(boxes.select("photo", *COORDS, rank.alias("node")), threshold)
+    leads = labels.select("photo", F.col("node.seq").alias("seq"), F.col("label.seq").alias("lead_seq"))
+    summary = boxes.select("photo", "seq", "method").join(leads, ["photo", "seq"]).groupBy("photo", F.col("lead_seq").alias("seq")).agg(
         F.count(F.lit(1)).alias("members"),
         (F.min("method") != F.max("method")).alias("__mixed"))
     return boxes.join(summary, ["photo", "seq"]).select(
@@ -159,7 +215,7 @@ def merge_groups(boxes: DataFrame, threshold: float = 0.35) -> DataFrame:
 
 def reading_order(boxes: DataFrame, out: str = "position") -> DataFrame:
     """Number boxes by visual row, then from left to right."""
-    middle_height = boxes.groupBy("photo").agg(F.median(F.col("y1") - F.col("y0")).alias("__mid"))
+    middle_height = medians(boxes, ["photo"], F.col("y1") - F.col("y0"), "__mid")
     tolerance = F.greatest(F.lit(1.0), F.col("__mid") * 0.75)
     placed = boxes.join(middle_height, "photo").withColumn(
         "__row", F.rint((F.col("y0") + F.col("y1")) / 2 / tolerance)).withColumn(

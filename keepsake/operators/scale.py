@@ -192,36 +192,62 @@ def resolve_roots(pointers: DataFrame, node: str, parent: str, root: str = "root
     return out.select(F.col("n").alias(node), F.col("root").alias(root))
 
 
+def medians(df: DataFrame, keys: Sequence[str], value: Column, out: str, hot_rows: int = 100_000, parts: int = 1024) -> DataFrame:
+    """The exact median of a number per key (or of all rows): keys and ``out``. Nulls and NaN don't count.
+
+    Keys of moderate size are put in order. For a key with more than ``hot_rows`` rows the one or two middle places are selected: the range of values is cut into ``parts``, the
+    rows in each are counted, and the part that holds the place is the next range, until few enough rows or one value are left.
+    """
+    named = list(keys) or ["__all"]
+    rows = df.select(*(keys or [F.lit(0).alias("__all")]), value.cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
+    moderate, hot = _by_size(rows, named, hot_rows)
+    found = [] if moderate is None else [_middle_of(moderate, named)]
+    if hot is not None:
+        found.append(_selected(cut(hot), named, hot_rows, parts))
+    both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return both.select(*keys, F.col("__median").alias(out))
+
+
+def _middle_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The mean of the one or two middle rows of each key."""
+    whole = Window.partitionBy(*keys)
+    placed = rows.withColumns({"__i": F.row_number().over(whole.orderBy("__v")), "__n": F.count(F.lit(1)).over(whole)})
+    middle = placed.where((F.col("__i") == F.floor((F.col("__n") + 1) / 2)) | (F.col("__i") == F.floor((F.col("__n") + 2) / 2)))
+    return middle.groupBy(*keys).agg(F.avg("__v").alias("__median"))
+
+
+def _selected(rows: DataFrame, keys: Sequence[str], hot_rows: int, parts: int) -> DataFrame:
+    """Medians of hot keys: the values at the middle places, each narrowed down by counts."""
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    places = F.array_distinct(F.array(F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)))
+    open_ = cut(ends.select(*keys, F.explode(places).alias("__place"), F.lit(0).cast("long").alias("__below"), "__n", "__lo", "__hi"))
+    done = []
+    while True:
+        small = (F.col("__n") <= hot_rows) | (F.col("__lo") == F.col("__hi"))
+        done.append(open_.where(small))
+        left = open_.where(~small)
+        if left.isEmpty():
+            break
+        share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+        counts = (_meet(rows, left, keys).where("__v between __lo and __hi")
+                  .withColumn("__part", F.least(F.floor(share * parts), F.lit(parts - 1)))
+                  .groupBy(*keys, "__place", "__below", "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
+        before = Window.partitionBy(*keys, "__place").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("__below", F.col("__below") + F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        open_ = cut(counts.where("__below <= __place and __place < __below + __n").drop("__part"))
+    known = done[0]
+    for some in done[1:]:
+        known = known.unionByName(some)
+    single = known.where("__lo = __hi").select(*keys, F.col("__lo").alias("__v"))
+    inside = _meet(rows, known.where("__lo < __hi").drop("__n"), keys).where("__v between __lo and __hi")
+    placed = inside.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, "__place").orderBy("__v")))
+    ranked = placed.where(F.col("__i") == F.col("__place") - F.col("__below") + 1).select(*keys, "__v")
+    return single.unionByName(ranked).groupBy(*keys).agg(F.avg("__v").alias("__median"))
+
+
 def side_by_side(*rows: DataFrame) -> DataFrame:
     """One row with the columns of several one-row frames."""
     stacked = rows[0]
     for row in rows[1:]:
         stacked = stacked.unionByName(row, allowMissingColumns=True)
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
-
-
-def least_ancestor(edges: DataFrame, group: str, node: str, earlier: str, label: str = "label") -> DataFrame:
-    """Smallest node reachable by edges that lead to smaller nodes, per group.
-
-    Returns a row for each node that has an edge; other nodes are their own label.
-    Rounds take the best of the neighbours' labels and then the label's own label, so their
-    number grows with the logarithm of the longest path.
-    """
-    links = cut(edges.select(group, node, earlier))
-    labels = cut(links.groupBy(group, node).agg(F.min(earlier).alias(label)))
-    while True:
-        of_label = labels.select(group, F.col(node).alias("__at"), F.col(label).alias("__up"))
-        near = (
-            links.join(of_label.withColumnRenamed("__at", earlier), [group, earlier])
-            .groupBy(group, node).agg(F.min("__up").alias("__near"))
-        )
-        jump = labels.join(of_label.withColumnRenamed("__at", label), [group, label]).select(
-            group, node, F.col("__up").alias("__jump"))
-        updated = cut(
-            labels.join(near, [group, node], "left").join(jump, [group, node], "left")
-            .select(group, node, F.col(label).alias("__old"), F.least(label, "__near", "__jump").alias(label))
-        )
-        settled = updated.where(F.col("__old") != F.col(label)).isEmpty()
-        labels = updated.drop("__old")
-        if settled:
-            return labels

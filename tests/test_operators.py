@@ -1,6 +1,7 @@
 """Ordering and graph helpers, boxes, folding, similarity, ledger, manifests: goldens and brute force."""
 
 import random
+import statistics
 from collections import Counter
 
 import pytest
@@ -159,9 +160,51 @@ def test_pairs_equal_all_pairs(spark):
     want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and overlap(a, b) > 0}
     got = B.overlapping_pairs(df, df).select("photo", "a_seq", "b_seq").collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
-    inside = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and overlap(a, b) / area(a) > 0.6}
-    held = B.contained_pairs(df, df, 0.6).select("photo", "a_seq", "b_seq").collect()
-    assert len(held) == len(inside) and set(map(tuple, held)) == inside
+    inside = {(a[0], a[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and overlap(a, b) / area(a) >= 0.7}
+    assert sorted((r.photo, r.seq) for r in B.collisions(df).collect()) == sorted(inside)
+
+
+@pytest.mark.parametrize("crowd", [5, 40])
+def test_crowded_cells_are_cut_and_nothing_changes(spark, crowd, monkeypatch):
+    rows = crowded(4) + [box(200 + i, *(lambda x, y: (x, y, x + 3, y + 2))(i % 17, i % 13), photo="hot") for i in range(120)]
+    df = spark.createDataFrame(rows, BOX)
+    want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and overlap(a, b) > 0}
+    got = B.overlapping_pairs(df, df, crowd=crowd).select("photo", "a_seq", "b_seq").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    inside = sorted((a[0], a[1]) for a in rows if any(a[0] == b[0] and a[1] != b[1] and overlap(a, b) / area(a) >= 0.7 for b in rows))
+    assert sorted((r.photo, r.seq) for r in B.collisions(df, crowd=crowd).collect()) == inside
+    whole = sorted(r.seq for r in B.drop_swallowers(df).where("photo = 'hot'").collect())
+    monkeypatch.setattr(B, "CROWD", crowd)
+    assert sorted(r.seq for r in B.drop_swallowers(df).where("photo = 'hot'").collect()) == whole
+
+
+def test_a_hundred_thousand_boxes_in_one_corner(spark):
+    df = spark.range(100_000).select(F.lit("p").alias("photo"), F.col("id").alias("seq"), (F.col("id") % 250).cast("double").alias("x0"),
+                                     F.floor(F.col("id") / 400).cast("double").alias("y0")).withColumns({"x1": F.col("x0") + 0.9, "y1": F.col("y0") + 0.9})
+    leaves = B._leaves([df], B.CELL, 2000)[0]
+    assert leaves.groupBy("size", "cx", "cy").count().agg(F.max("count")).first()[0] <= 2000
+    pairs = B.overlapping_pairs(df, df, crowd=2000).where("a_seq != b_seq")
+    per_place = df.groupBy("x0", "y0").count()
+    assert pairs.count() == per_place.agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 20, 10**6])
+def test_medians_equal_the_sorted_middle(spark, hot_rows):
+    rng = random.Random(7)
+    rows = [("most", rng.choice([0.0, 1.0, rng.gauss(0, 1e-9), rng.gauss(5, 100)])) for _ in range(700)]
+    rows += [("half", float(i % 2)) for i in range(80)] + [("one", 3.0), ("same", 2.5), ("same", 2.5), ("none", None), (None, 4.0), (None, 6.0), ("odd", float("nan")), ("odd", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {}
+    for k in {k for k, _ in rows}:
+        some = [v for x, v in rows if x == k and v is not None and v == v]
+        if some:
+            want[k] = statistics.median(some)
+    got = {r.k: r.m for r in S.medians(df, ["k"], F.col("v"), "m", hot_rows, parts=8).collect()}
+    assert got == pytest.approx(want)
+    every = S.medians(df, [], F.col("v"), "m", hot_rows, parts=8)
+    assert every.first().m == pytest.approx(statistics.median(v for _, v in rows if v is not None and v == v))
+    assert S.medians(df.where("false"), [], F.col("v"), "m", hot_rows).count() == 0
+    assert "percentile" not in every._jdf.queryExecution().toString().lower() and "median(" not in every._jdf.queryExecution().toString().lower()
 
 
 def test_best_match_and_evaluation(spark):
