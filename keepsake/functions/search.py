@@ -16,13 +16,13 @@ def terms_of(query: str) -> list[str]:
     return query.lower().split()
 
 
-def term_hits(term: str, title: Column, names: Column, body: Column, date: Column) -> Column:
-    """Points of one term. The date is matched as written, the rest in lower case."""
-    def points(text: Column, value: int) -> Column:
-        return F.when(text.contains(F.lit(term)), value).otherwise(0)
+def term_points(term: str, in_title: Column, in_names: Column, in_body: Column, date: Column) -> Column:
+    """Points of one term, by where it was found. The date is matched as written."""
+    def points(found: Column, value: int) -> Column:
+        return F.when(found, value).otherwise(0)
 
-    return (points(F.lower(title), TITLE_POINTS) + points(F.lower(names), NAME_POINTS)
-            + points(F.lower(body), BODY_POINTS) + points(date, DATE_POINTS))
+    return (points(in_title, TITLE_POINTS) + points(in_names, NAME_POINTS)
+            + points(in_body, BODY_POINTS) + points(date.contains(F.lit(term)), DATE_POINTS))
 
 
 def snippet(text: Column, query: str) -> Column:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.dates import date_key, decade_of, display_date, year_of
-from keepsake.functions.search import snippet, term_hits, terms_of
+from keepsake.functions.search import snippet, term_points, terms_of
 from keepsake.functions.text import nonempty, stripped
 from keepsake.operators.scale import numbered, resolve_roots, side_by_side
 from keepsake.schemas import UNPUBLISHABLE
@@ -212,28 +213,32 @@ def build_summary(before: DataFrame, entries: DataFrame, media: DataFrame, links
     )
 
 
-def search(entries: DataFrame, bodies: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """Best entries for a query, every term of which must occur somewhere in the entry.
+def term_flags(texts: DataFrame, query: str, roots: DataFrame | None = None) -> DataFrame:
+    """(id, t0, t1, ...): whether any of an id's ``texts`` (id, text) holds each term of the query.
 
-    ``entries`` carries id, title, names and date_value; ``bodies`` carries one or more (id, body) rows
-    per entry. Each term is looked for in every body; a hit in any of them counts once.
+    A text is looked through where it is read and only Booleans leave, also on the way to the ``roots`` (id, root) of the ids.
+    """
+    terms = terms_of(query)
+    flags = texts.select("id", *[F.lower("text").contains(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms)])
+    if roots is not None:
+        flags = flags.join(roots.select("id", "root"), "id").drop("id").withColumnRenamed("root", "id")
+    return flags.groupBy("id").agg(*[F.bool_or(f"t{i}").alias(f"t{i}") for i in range(len(terms))]) if terms else flags.distinct()
+
+
+def search(entries: DataFrame, titles: DataFrame, names: DataFrame, bodies: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """(id, date_value, score) of the best entries for a query, every term of which must occur somewhere in the entry.
+
+    ``entries`` carries id and date_value; ``titles``, ``names`` and ``bodies`` are the ``term_flags`` of what belongs to them. Each place scores a term once.
     """
     terms = terms_of(query)
     if not terms:
-        return entries.withColumn("score", F.lit(0)).limit(0)
-    found = bodies.groupBy("id").agg(*[
-        F.bool_or(F.lower("body").contains(F.lit(t))).alias(f"__b{i}") for i, t in enumerate(terms)])
-    rows = entries.join(found, "id", "left")
-    hits = [
-        term_hits(t, F.col("title"), F.col("names"), F.when(F.col(f"__b{i}"), F.lit(t)).otherwise(""),
-                  F.col("date_value"))
-        for i, t in enumerate(terms)
-    ]
-    every = hits[0] > 0
-    total = hits[0]
-    for h in hits[1:]:
-        every, total = every & (h > 0), total + h
-    scored = rows.where(every).withColumn("score", total).drop(*[f"__b{i}" for i in range(len(terms))])
+        return entries.select("id", "date_value", F.lit(0).alias("score")).limit(0)
+    found = entries.select("id", "date_value")
+    for place, flags in (("title", titles), ("name", names), ("body", bodies)):
+        found = found.join(flags.withColumnsRenamed({f"t{i}": f"{place}{i}" for i in range(len(terms))}), "id", "left")
+    hits = [term_points(t, F.col(f"title{i}"), F.col(f"name{i}"), F.col(f"body{i}"), F.col("date_value")) for i, t in enumerate(terms)]
+    alive, total = reduce(Column.__and__, [h > 0 for h in hits]), reduce(Column.__add__, hits)
+    scored = found.where(alive).select("id", "date_value", total.alias("score"))
     return scored.orderBy(F.col("score").desc(), *chronological()).limit(limit)
 
 

@@ -11,7 +11,7 @@ from keepsake.operators import catalogue as C
 from keepsake.operators import entities as E
 from keepsake.operators import links as K
 from keepsake.operators.scale import numbered, resolve_roots
-from keepsake.plans.bindings import DERIVATIVES, FOLDED, MENTIONS, RECORDS, TURNS, Views, by_digits
+from keepsake.plans.bindings import DERIVATIVES, FOLDED, MENTIONS, RECORDS, TURNS, Views, by_digits, padded, title_of
 from keepsake.plans.entity_queries import LINKS, item_links
 from keepsake.plans.registry import query
 from keepsake.session import cut
@@ -233,14 +233,21 @@ hits AS (SELECT id, title, {' + '.join(_points(t) for t in TERMS)} AS score FROM
 
 
 def searched(v: Views, text: str, limit: int = 100) -> DataFrame:
-    f = folded(v)
-    names = (entry_links(v).join(E.entities(v.slugged), ["kind", "slug"]).groupBy(F.col("item_id").alias("id"))
-             .agg(F.array_join(F.collect_list("name"), " ").alias("names")))
-    entries = f.entries.join(names, "id", "left").select(
-        "id", "title", F.coalesce("names", F.lit("")).alias("names"), "date_value")
-    # The title serves as the image's description too, so it counts as body text.
-    bodies = f.parts.select("id", "body").unionByName(f.entries.select("id", F.col("title").alias("body")))
-    return C.search(entries, bodies, text, limit)
+    roles = cut(C.roles(v.published, date_buckets(), chains=False))
+    own = roles.where("parent_id is null").select("id", F.col("id").alias("root"))
+    titles = v.t("documents").select(padded(F.col("doc_id")).alias("id"), title_of("text").alias("text"))
+    bodies = v.t("documents").select(padded(F.col("doc_id")).alias("id"), "text")
+    # A name is looked at once for all who bear it.
+    known = C.term_flags(E.entities(v.slugged).select(F.struct("kind", "slug").alias("id"), F.col("name").alias("text")), text).select("id.*", "*").drop("id")
+    flags = [c for c in known.columns if c not in ("kind", "slug")]
+    names = (entry_links(v).join(known, ["kind", "slug"]).groupBy(F.col("item_id").alias("id"))
+             .agg(*[F.bool_or(c).alias(c) for c in flags])) if flags else known.select(F.lit("").alias("id"))
+    dates = v.published.select("id", "date_value").join(own.select("id"), "id", "left_semi")
+    found = C.search(dates, C.term_flags(titles, text, own), names,
+                     C.term_flags(bodies, text, roles.select("id", F.coalesce("parent_id", "id").alias("root"))), text, limit)
+    # Titles are fetched for what is shown only.
+    shown = titles.join(found, "id").select("id", F.col("text").alias("title"), "date_value", "score")
+    return shown.orderBy(F.col("score").desc(), *C.chronological())
 
 
 @query("search_top_100", f"""WITH {SEARCHED} SELECT h.id, h.title, score FROM hits h JOIN entries e USING (id)

@@ -12,7 +12,7 @@ from keepsake.functions import dates as D
 from keepsake.functions import geometry as G
 from keepsake.functions import text as T
 from keepsake.functions.files import base_name, excluded, media_type, safe_name, suffix
-from keepsake.functions.search import snippet, term_hits, terms_of
+from keepsake.functions.search import snippet, term_points, terms_of
 from keepsake.functions.slug import ascii_fold, slugify
 from keepsake.sources.files import captured_at, kept_tags
 
@@ -205,10 +205,12 @@ def test_names_and_types(spark):
 
 def test_search_points(spark):
     assert terms_of("  Polio  polio ") == ["polio", "polio"]
-    df = spark.createDataFrame([("Polio drive", "Harold Pratt", "the polio drive of 1962", "1962")],
+    df = spark.createDataFrame([("polio drive", "harold pratt", "the polio drive of 1962", "1962")],
                                "title string, names string, body string, date string")
-    cols = [F.col(c) for c in ("title", "names", "body", "date")]
-    assert list(df.select(*[term_hits(t, *cols) for t in ("polio", "pratt", "1962", "none")]).first()) == [12, 6, 6, 0]
+
+    def points(term):
+        return term_points(term, *[F.col(c).contains(term) for c in ("title", "names", "body")], F.col("date"))
+    assert list(df.select(*[points(t) for t in ("polio", "pratt", "1962", "none")]).first()) == [12, 6, 6, 0]
 
 
 def test_snippets(spark):

@@ -1,6 +1,7 @@
 """Ordering and graph helpers, boxes, folding, similarity, ledger, manifests: goldens and brute force."""
 
 import random
+import re
 import statistics
 from collections import Counter
 
@@ -404,14 +405,28 @@ def test_related_items_end_their_lists_early(spark):
 def test_every_term_must_hit_somewhere(spark):
     entries = spark.createDataFrame([("a", "Polio drive", "", "1962"), ("b", "Other", "Harold", ""), ("c", "polio", "", "")],
                                     "id string, title string, names string, date_value string")
-    bodies = spark.createDataFrame([("a", "of 1962"), ("a", "nurses"), ("b", "polio"), ("c", "x")], "id string, body string")
+    bodies = spark.createDataFrame([("a", "of 1962"), ("a2", "nurses"), ("b", "polio"), ("c", "x"), ("gone", "polio")], "id string, text string")
+    roots = spark.createDataFrame([("a", "a"), ("a2", "a"), ("b", "b"), ("c", "c")], "id string, root string")
+
     def run(q):
-        return [(r.id, r.score) for r in C.search(entries, bodies, q).collect()]
+        titles, names = (C.term_flags(entries.select("id", F.col(c).alias("text")), q) for c in ("title", "names"))
+        found = C.search(entries, titles, names, C.term_flags(bodies, q, roots), q) if q.strip() else C.search(entries, entries, entries, entries, q)
+        return [(r.id, r.score) for r in found.collect()]
     assert run("polio") == [("a", 10), ("c", 10), ("b", 2)]
     assert run("polio nurses") == [("a", 12)] and run("POLIO harold") == [("b", 8)]
     assert run("1962") == [("a", 6)] and run("  ") == [] and run("polio polio")[0] == ("a", 20)
 
 
+def test_no_text_is_shuffled_for_a_search(spark):
+    from keepsake.plans import QUERIES
+
+    df = QUERIES["search_top_100"](spark, "/root/testdata/sf0.001")
+    nodes = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("\n\n")
+    read = {a for n in nodes if ") Scan parquet" in n for a in re.findall(r"\btext#\d+", n)}
+    moved = [n for n in nodes if re.match(r"\s*\(\d+\) (Broadcast)?Exchange", n)]
+    assert read and moved and not any(a + e in n for n in moved for a in read for e in ",]")
+
+
 # ---- ledger and manifests ------------------------------------------------------------------
 
 
