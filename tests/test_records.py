@@ -1,6 +1,8 @@
 """Replies, clean records, versions, entities, workflow."""
 
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,6 +255,34 @@ def test_one_failure_is_one_row(spark):
     assert all(r.reply == r.item_id.upper() if r.ok else r.error == f"ValueError: no {r.item_id}" for r in rows)
 
 
+def test_calls_overlap_and_carry_who_answered(spark):
+    """Slow calls in one partition: as many run together as are let in flight, whatever the order in which they end."""
+    def connect():
+        lock, running, most = threading.Lock(), [0], [0]
+
+        def answer(item_id, context):
+            with lock:
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            time.sleep(0.4 if item_id == "j00" else 0.05)
+            with lock:
+                running[0] -= 1
+            return I.Reply(str(most[0]), 3, 1, "local", "slow")
+
+        return answer
+
+    rows = I.run_jobs(jobs(spark).coalesce(1), connect, in_flight=5).collect()
+    assert len(rows) == 20 and rows[0].item_id != "j00" and max(int(r.reply) for r in rows) == 5
+    assert {(r.usage.input_tokens, r.usage.output_tokens, r.provider, r.model) for r in rows} == {(3, 1, "local", "slow")}
+    assert max(int(r.reply) for r in I.run_jobs(jobs(spark).coalesce(1), connect, in_flight=1).collect()) == 1
+
+
+def test_failures_name_their_items(spark):
+    rows = spark.createDataFrame([("a", True, True, None), ("b", True, False, "E: x"), ("c", False, None, None), ("d", True, None, None)],
+                                 "item_id string, has_image boolean, ok boolean, error string")
+    assert sorted(map(tuple, I.failures(rows).collect())) == [("b", "E: x"), ("c", "no image"), ("d", "missing from batch results")]
+
+
 def test_a_general_failure_stops_the_run(spark):
     with pytest.raises(Exception, match="ProviderError: no j"):
         I.run_jobs(jobs(spark), connector(I.ProviderError)).collect()
