@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,35 +80,28 @@ def backlog(inbox: DataFrame, ledger: DataFrame, folder: str, content: str) -> D
 
 
 def landing_names(uploads: DataFrame, raw: str, arrival: str, buckets: Sequence[Column]) -> DataFrame:
-    """Safe names for uploads (unique ``arrival``); the n-th file of one name lands as ``stem-n.ext``.
+    """Safe names for uploads (unique ``arrival``); a later file of one name lands as ``stem-n.ext``, with the next number that is free.
 
-    Refused names come back with a null landing name. A numbered name that somebody also uploaded as
-    such belongs to that upload, and the numbered file queues up as a further copy of it. So no two
-    files ever land under one name.
+    Refused names come back with a null landing name. A numbered name that somebody also uploaded as such is taken, so no two
+    files ever land under one name. The r-th free number from 2 on is r + 1 and the taken ones before it: with the j-th taken number t put in line at t - j, it is one more than
+    the place of r in that line.
     """
-    named = uploads.withColumn("safe", safe_name(F.col(raw)))
-    taken = cut(named.where("safe is not null").select(F.col("safe").alias("__name")).distinct())
+    named = cut(uploads.withColumn("safe", safe_name(F.col(raw))))
+    placed = numbered(named.where("safe is not null"), ["safe"], [F.col(arrival)], buckets, "__copy")
+    placed = cut(placed)
+    later = placed.where("__copy > 1").withColumns({"__key": F.col("__copy") - 1, "__kind": F.lit(1)})
+    parts = [F.regexp_extract("safe", r"^(.*)-([1-9][0-9]{0,17})(\.[^.]+)$", i) for i in (1, 2, 3)]
+    taken = placed.where("__copy = 1").select(F.concat(parts[0], parts[2]).alias("safe"), F.try_to_number(parts[1], F.lit("9" * 18)).cast("long").alias("__number"))
+    taken = cut(taken.where("__number > 1").join(later.select("safe").distinct(), "safe", "left_semi"))
+    numbers = numbered(taken, ["safe"], [F.col("__number")], [F.floor(F.col("__number") / 10**8), F.floor(F.col("__number") / 10**5)], "__j")
+    line = cut(later.unionByName(numbers.select("safe", (F.col("__number") - F.col("__j")).alias("__key"), F.lit(0).alias("__kind")), allowMissingColumns=True))
+    free = numbered(line, ["safe"], [F.col("__key"), F.col("__kind")], [F.floor(F.col("__key") / 10**8), F.floor(F.col("__key") / 10**5)], "__place")
     ending = F.regexp_extract("safe", r"(\.[^.]+)$", 1)
-    label = F.when(F.col("copy_no") == 1, F.col("safe")).otherwise(
-        F.concat(stem(F.col("safe")), F.lit("-"), F.col("copy_no"), ending))
-    keep = [*uploads.columns, "safe", "copy_no", "landing_name"]
-    waiting = numbered(named.where("safe is not null"), ["safe"], [F.col(arrival)], buckets, "copy_no")
-    settled: list[DataFrame] = []
-    numbers: list[DataFrame] = []
-    while True:
-        tried = waiting.withColumn("landing_name", label)
-        checked = cut(tried.join(taken, (F.col("copy_no") > 1) & (F.col("landing_name") == F.col("__name")), "left"))
-        settled.append(checked.where("__name is null").select(*keep))
-        numbers.append(checked.groupBy("safe").agg(F.max("copy_no").alias("__last")))
-        moved = checked.where("__name is not null").select(*uploads.columns, F.col("landing_name").alias("safe"))
-        if moved.isEmpty():
-            break
-        so_far = reduce(DataFrame.unionByName, numbers).groupBy("safe").agg(F.max("__last").alias("__last"))
-        waiting = numbered(moved, ["safe"], [F.col(arrival)], buckets, "__rn").join(so_far, "safe").withColumn(
-            "copy_no", F.col("__rn") + F.col("__last")).drop("__rn", "__last")
-    refused = named.where("safe is null").withColumn("landing_name", F.lit(None).cast("string"))
-    landed = reduce(DataFrame.unionByName, settled).select(*uploads.columns, "landing_name")
-    return landed.unionByName(refused.select(*uploads.columns, "landing_name"))
+    label = F.concat(stem(F.col("safe")), F.lit("-"), F.col("__place") + 1, ending)
+    landed = placed.where("__copy = 1").withColumn("landing_name", F.col("safe")).select(*uploads.columns, "landing_name")
+    again = free.where("__kind = 1").withColumn("landing_name", label).select(*uploads.columns, "landing_name")
+    refused = named.where("safe is null").withColumn("landing_name", F.lit(None).cast("string")).select(*uploads.columns, "landing_name")
+    return landed.unionByName(again).unionByName(refused)
 
 
 def exact_duplicates(items: DataFrame, key: str, hashed: str, out: str = "duplicate_of") -> DataFrame:

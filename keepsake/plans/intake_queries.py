@@ -97,9 +97,13 @@ def inbox_backlog_by_language(v: Views) -> DataFrame:
     return L.backlog(inbox, known(v), "folder", "text")
 
 
-@query("landing_names", f"""WITH {UPLOADS}, n AS (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY arrival) AS k FROM safe)
+@query("landing_names", f"""WITH {UPLOADS}, n AS (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY arrival) AS k FROM safe),
+ t AS (SELECT DISTINCT regexp_replace(safe, '-[0-9]+(\\.[^.]+)$', '\\1') AS base, CAST(regexp_extract(safe, '-([1-9][0-9]*)\\.[^.]+$', 1) AS BIGINT) AS taken
+  FROM safe WHERE regexp_matches(safe, '-[1-9][0-9]*\\.[^.]+$')),
+ s AS (SELECT base, taken - row_number() OVER (PARTITION BY base ORDER BY taken) AS place FROM t WHERE taken > 1)
  SELECT arrival, raw, CASE WHEN safe IS NULL THEN NULL WHEN k = 1 THEN safe
-  ELSE regexp_replace(safe, '\\.[^.]+$', '') || '-' || k || regexp_extract(safe, '(\\.[^.]+)$', 1) END AS landing_name FROM n""")
+  ELSE regexp_replace(safe, '\\.[^.]+$', '') || '-' || (k + (SELECT count(*) FROM s WHERE base = safe AND place <= k - 1))
+   || regexp_extract(safe, '(\\.[^.]+)$', 1) END AS landing_name FROM n""")
 def landing_names(v: Views) -> DataFrame:
     return L.landing_names(uploads(v), "raw", "arrival", by_range("arrival"))
 

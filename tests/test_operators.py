@@ -460,15 +460,26 @@ def test_long_ids_stay_apart(spark):
     assert [int(i) for i in made] == numbers and sorted(made) == made
 
 
+def test_landing_names_take_the_next_free_number(spark):
+    df = spark.createDataFrame([(1, "a.jpg"), (2, "x/a.jpg"), (3, "a-2.jpg"), (4, "a.jpg"), (5, "bad.txt"), (6, "a-2.jpg"), (7, "a-4.jpg"), (8, "a.jpg"), (9, "a-02.jpg")],
+                               "at long, raw string")
+    got = {r.at: r.landing_name for r in L.landing_names(df, "raw", "at", [F.col("at")]).collect()}
+    assert got == {1: "a.jpg", 3: "a-2.jpg", 2: "a-3.jpg", 7: "a-4.jpg", 4: "a-5.jpg", 8: "a-6.jpg", 6: "a-2-2.jpg", 9: "a-02.jpg", 5: None}
+    one = spark.createDataFrame([(1, "a.jpg"), (2, "a-2.jpg"), (3, "a.jpg")], df.schema)
+    assert {r.at: r.landing_name for r in L.landing_names(one, "raw", "at", [F.col("at")]).collect()} == {1: "a.jpg", 2: "a-2.jpg", 3: "a-3.jpg"}
+
+
 def test_landing_names_never_clash(spark):
-    df = spark.createDataFrame([(1, "a.jpg"), (2, "x/a.jpg"), (3, "a-2.jpg"), (4, "a.jpg"), (5, "bad.txt")], "at long, raw string")
+    rng = random.Random(3)
+    raw = [rng.choice(["a", "b", "a-2", "a-3", "a-2-2", "b-1", "a-10"]) + ".jpg" for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(raw)), "at long, raw string")
     got = {r.at: r.landing_name for r in L.landing_names(df, "raw", "at", [F.col("at")]).collect()}
-    assert got[1] == "a.jpg" and got[3] == "a-2.jpg" and got[4] == "a-3.jpg" and got[5] is None
-    assert got[2] == "a-2-2.jpg"
-    rng = random.Random(4)
-    many = [(i, rng.choice(["a", "a-2", "a-2-2", "a-3", "b"]) + ".jpg") for i in range(60)]
-    names = [r.landing_name for r in L.landing_names(spark.createDataFrame(many, "at long, raw string"), "raw", "at", [F.col("at")]).collect()]
-    assert len(set(names)) == 60 and {n for _, n in many} <= set(names)
+    assert len(set(got.values())) == 120
+    for name in set(raw):
+        stem = name[:-4]
+        mine = [i for i, r in enumerate(raw) if r == name]
+        free = (n for n in range(2, 999) if f"{stem}-{n}.jpg" not in raw)
+        assert [got[i] for i in mine] == [name, *(f"{stem}-{next(free)}.jpg" for _ in mine[1:])]
 
 
 FILE = "path string, size long, hash string"
