@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +16,21 @@ from keepsake.schemas import DECIDED
 STATUS_AFTER = {"approve": "approved", "reject": "rejected", "recrop": "rectified", "rotate": "rectified"}
 
 
+#: An item's own key. Its id is a label made from the first part of the photo's hash, which two photos may share.
+KEY = ("photo_sha256", "seq")
+
+
+def key_of(*frames: DataFrame) -> list[str]:
+    """The columns by which items of these frames are told apart: photo and number where all have them, else the id."""
+    return list(KEY) if all(set(KEY) <= set(f.columns) for f in frames) else ["id"]
+
+
 def update_by_id(items: DataFrame, changes: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Set columns on the items named in ``changes`` (unique id; its columns are seen as ``new.x``)."""
-    hit = F.col("new.id").isNotNull()
-    joined = items.alias("old").join(changes.alias("new"), F.col("old.id") == F.col("new.id"), "left")
+    """Set columns on the items named in ``changes``, once each, by photo and number or by id; its columns are seen as ``new.x``."""
+    key = key_of(items, changes)
+    hit = F.col(f"new.{key[0]}").isNotNull()
+    same = reduce(Column.__and__, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in key])
+    joined = items.alias("old").join(changes.alias("new"), same, "left")
     return joined.select(*[
         F.when(hit, values[c]).otherwise(F.col(f"old.{c}")).alias(c) if c in values else F.col(f"old.{c}")
         for c in items.columns
@@ -76,7 +88,9 @@ def decide(items: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def decision_log(decisions: DataFrame, items: DataFrame) -> DataFrame:
-    known = decisions.where(F.col("decision").isin(*DECIDED)).join(items.select("id"), "id", "left_semi")
+    key = key_of(decisions, items)
+    valid = decisions.where(F.col("decision").isin(*DECIDED)).select(*key, "decision")
+    known = valid.join(items.select(*dict.fromkeys([*key, "id"])), key)
     return known.select(F.col("id").alias("item_id"),
                         F.when(F.col("decision") == "approved", "approve").otherwise("reject").alias("action"))
 
@@ -95,7 +109,15 @@ def rotate(items: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def set_pointer(items: DataFrame, edits: DataFrame, column: str) -> DataFrame:
-    """Set or clear a pointer (id, target). Targets that are unknown or the item itself are refused."""
+    """Set or clear a pointer. Targets that are unknown or the item itself are refused.
+
+    ``edits`` name the item and its target by (photo_sha256, seq, target_photo, target_seq), of which the last two are null to clear, or by (id, target).
+    """
+    if set(KEY) <= set(edits.columns):
+        known = items.select(F.col("photo_sha256").alias("target_photo"), F.col("seq").alias("target_seq"), F.col("id").alias("__id"))
+        own = (F.col("target_photo") == F.col("photo_sha256")) & (F.col("target_seq") == F.col("seq"))
+        joined = edits.join(known, ["target_photo", "target_seq"], "left")
+        return update_by_id(items, joined.where(F.col("target_photo").isNull() | (F.col("__id").isNotNull() & ~own)), {column: F.col("new.__id")})
     known = items.select(F.col("id").alias("target"), F.lit(True).alias("__known"))
     checked = edits.join(known, "target", "left").where(
         F.col("target").isNull() | (F.col("__known") & (F.col("target") != F.col("id"))))
@@ -103,15 +125,16 @@ def set_pointer(items: DataFrame, edits: DataFrame, column: str) -> DataFrame:
 
 
 def cascade_delete(gone: DataFrame, photos: DataFrame, items: DataFrame,
-                   children: dict[str, tuple[DataFrame, list[str]]]) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Remove photos and everything below them; each child names its item id columns."""
+                   children: dict[str, tuple[DataFrame, list[str | tuple[str, str]]]]) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Remove photos and everything below them; each child names the columns that hold its items' keys: (photo, number), or an id where it has no other."""
+    named = gone.select(F.col("sha256").alias("photo_sha256")).distinct()
     kept_photos = photos.join(gone.select("sha256"), "sha256", "left_anti")
-    lost = items.join(gone.select(F.col("sha256").alias("photo_sha256")), "photo_sha256", "left_semi").select("id")
-    kept_items = items.join(lost, "id", "left_anti")
+    lost, kept_items = items.join(named, "photo_sha256", "left_semi").select(*KEY, "id"), items.join(named, "photo_sha256", "left_anti")
     kept = {}
     for name, (table, columns) in children.items():
         for column in columns:
-            table = table.join(lost.select(F.col("id").alias(column)), column, "left_anti")
+            names, key = ([column], ["id"]) if isinstance(column, str) else (list(column), list(KEY))
+            table = table.join(lost.select(*[F.col(k).alias(n) for k, n in zip(key, names)]), names, "left_anti")
         kept[name] = table
     return kept_photos, kept_items, kept
 

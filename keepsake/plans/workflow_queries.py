@@ -155,22 +155,21 @@ hits AS (SELECT left(sha256(CAST(o_orderkey AS VARCHAR)), 12) || '-00' AS id, *
 
 def first_items(v: Views) -> DataFrame:
     """One change per order, aimed at the first item of its photo (which may not exist)."""
-    return v.t("orders").withColumn("id", F.concat(
-        F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 12), F.lit("-00")))
+    return v.t("orders").withColumns({"photo_sha256": F.sha2(F.col("o_orderkey").cast("string"), 256), "seq": F.lit(0).cast("long")})
 
 
 @query("decided_items", f"""WITH {ITEMS}, {HITS} SELECT i.id, CASE h.o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'rejected' ELSE i.status END AS status,
  CASE WHEN h.o_orderstatus IN ('F', 'O') THEN FALSE ELSE needs_human_review END AS needs_human_review FROM items i LEFT JOIN hits h USING (id)""")
 def decided_items(v: Views) -> DataFrame:
     decision = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "rejected").otherwise("later")
-    return W.decide(v.items, first_items(v).select("id", decision.alias("decision"))).select("id", "status", "needs_human_review")
+    return W.decide(v.items, first_items(v).select(*W.KEY, decision.alias("decision"))).select("id", "status", "needs_human_review")
 
 
 @query("decision_log", f"""WITH {ITEMS}, {HITS} SELECT id AS item_id, CASE o_orderstatus WHEN 'F' THEN 'approve' ELSE 'reject' END AS action
  FROM hits WHERE o_orderstatus IN ('F', 'O') AND id IN (SELECT id FROM items)""")
 def decision_log(v: Views) -> DataFrame:
     decision = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "rejected").otherwise("later")
-    return W.decision_log(first_items(v).select("id", decision.alias("decision")), v.items)
+    return W.decision_log(first_items(v).select(*W.KEY, decision.alias("decision")), v.items)
 
 
 @query("recropped_items", f"""WITH {ITEMS}, {HITS} SELECT i.id, CASE WHEN o_orderstatus = 'F' THEN 'detected' ELSE i.status END AS status,
@@ -182,7 +181,7 @@ def recropped_items(v: Views) -> DataFrame:
 
     items = v.items.withColumn("quad", square(F.lit(10)))
     full = square(F.col("o_custkey"))
-    crops = first_items(v).select("id", F.when(F.col("o_orderstatus") == "F", full).otherwise(F.slice(full, 1, 3)).alias("quad"))
+    crops = first_items(v).select(*W.KEY, F.when(F.col("o_orderstatus") == "F", full).otherwise(F.slice(full, 1, 3)).alias("quad"))
     got = W.recrop(items, crops)
     return got.select("id", "status", G.quad_area(F.col("quad")).cast("long").alias("area"))
 
@@ -191,7 +190,7 @@ def recropped_items(v: Views) -> DataFrame:
  SELECT i.id, CASE WHEN deg IN (90, -180) THEN 'rectified' ELSE status END AS status,
  CASE WHEN deg IN (90, -180) THEN (rotation_applied + deg + 360) % 360 ELSE rotation_applied END AS rotation_applied FROM items i LEFT JOIN t USING (id)""")
 def rotated_items(v: Views) -> DataFrame:
-    turns = first_items(v).select("id", F.when(F.col("o_orderstatus") == "F", 90).when(F.col("o_orderstatus") == "O", -180)
+    turns = first_items(v).select(*W.KEY, F.when(F.col("o_orderstatus") == "F", 90).when(F.col("o_orderstatus") == "O", -180)
                                   .otherwise(45).alias("degrees"))
     return W.rotate(v.items, turns).select("id", "status", "rotation_applied")
 
@@ -200,9 +199,10 @@ def rotated_items(v: Views) -> DataFrame:
  SELECT i.id, CASE WHEN e.id IS NULL OR (target IS NOT NULL AND (target = e.id OR target NOT IN (SELECT id FROM items))) THEN part_of_item_id ELSE target END AS part_of_item_id
  FROM items i LEFT JOIN e USING (id)""")
 def regrouped_items(v: Views) -> DataFrame:
-    target = (F.when(F.col("o_orderstatus") == "F", F.lit(None).cast("string"))
-              .when(F.col("o_orderstatus") == "O", F.concat(F.substring("id", 1, 13), F.lit("01"))).otherwise(F.col("id")))
-    edits = first_items(v).select("id", target.alias("target"))
+    """The second item of the photo as target for open orders, the item itself for others, none for filled ones."""
+    filled = F.col("o_orderstatus") == "F"
+    edits = first_items(v).select(*W.KEY, F.when(~filled, F.col("photo_sha256")).alias("target_photo"),
+                                  F.when(~filled, F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).cast("long")).alias("target_seq"))
     return W.set_pointer(v.items, edits, "part_of_item_id").select("id", "part_of_item_id")
 
 
@@ -212,10 +212,11 @@ def regrouped_items(v: Views) -> DataFrame:
  UNION ALL SELECT 'versions', count(*) FROM live WHERE item_id IN (SELECT id FROM kept)
  UNION ALL SELECT 'pointers', count(*) FROM items WHERE part_of_item_id IS NOT NULL AND part_of_item_id IN (SELECT id FROM kept)""")
 def cascade_delete(v: Views) -> DataFrame:
-    pointers = v.items.where("part_of_item_id is not null").select(F.col("id").alias("a"), F.col("part_of_item_id").alias("b"))
+    pointers = v.items.where("part_of_item_id is not null").select(*W.KEY, F.lit(0).cast("long").alias("first"))
+    read = v.live_items.join(v.items.select(F.col("id").alias("item_id"), *W.KEY), "item_id")
     photos, items, rest = W.cascade_delete(
         v.photos.where("status = 'ingested'"), v.photos, v.items,
-        {"versions": (v.live_items, ["item_id"]), "pointers": (pointers, ["a", "b"])})
+        {"versions": (read, [W.KEY]), "pointers": (pointers, [W.KEY, ("photo_sha256", "first")])})
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("what"), "n")
               for w, df in (("photos", photos), ("items", items), *rest.items())]
     out = counts[0]

@@ -178,6 +178,23 @@ def test_pointers(spark):
     assert got == {"a": "b", "b": None, "c": None, "d": None, "e": None}
 
 
+def test_photos_that_share_twelve_digits_keep_their_items_apart(spark):
+    one, two = "0123456789ab" + "c" * 52, "0123456789ab" + "d" * 52
+    rows = [("0123456789ab-00", p, 0, "analyzed", True, None, 0, "m", None) for p in (one, two)] + [("0123456789ab-01", two, 1, "analyzed", True, None, 0, "m", None)]
+    both = spark.createDataFrame(rows, ITEM)
+    key = "photo_sha256 string, seq long, "
+    got = W.decide(both, spark.createDataFrame([(one, 0, "approved")], key + "decision string"))
+    assert sorted((r.photo_sha256[12], r.seq, r.status) for r in got.collect()) == [("c", 0, "approved"), ("d", 0, "analyzed"), ("d", 1, "analyzed")]
+    assert W.decision_log(spark.createDataFrame([(one, 0, "approved"), ("gone", 0, "approved")], key + "decision string"), both).count() == 1
+    edits = spark.createDataFrame([(two, 1, two, 0), (one, 0, one, 1), (two, 0, two, 0)], key + "target_photo string, target_seq long")
+    assert sorted((r.photo_sha256[12], r.seq, r.part_of_item_id) for r in W.set_pointer(both, edits, "part_of_item_id").collect()) == [
+        ("c", 0, None), ("d", 0, None), ("d", 1, "0123456789ab-00")]
+    gone = spark.createDataFrame([(one,)], "sha256 string")
+    versions = both.select(*W.KEY)
+    photos, items_left, rest = W.cascade_delete(gone, spark.createDataFrame([(one,), (two,)], "sha256 string"), both, {"versions": (versions, [W.KEY])})
+    assert photos.count() == 1 and items_left.count() == 2 and {r.photo_sha256 for r in rest["versions"].collect()} == {two}
+
+
 def test_work_queues(spark):
     live = spark.createDataFrame([("a",), ("b",)], "item_id string")
     def ids(df):
