@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions.geometry import Box, containment, iou
+from keepsake.functions.geometry import Box, containment, iou, split_confidence, whole_frame_confidence
 from keepsake.operators.scale import medians, numbered, side_by_side
 from keepsake.schemas import NOTES
 from keepsake.session import cut
@@ -240,10 +240,26 @@ def at_least_one(photos: DataFrame, boxes: DataFrame) -> DataFrame:
     return found.unionByName(filled)
 
 
-def photo_notes(boxes: DataFrame, sure: float = 0.6) -> DataFrame:
-    """Photos where no box is sure."""
-    best = boxes.groupBy("photo").agg(F.max("confidence").alias("best"))
-    return best.withColumn("note", F.when(F.col("best") < sure, NOTES["photo"]))
+def settled(photos: DataFrame, boxes: DataFrame, split: DataFrame, sure: float = 0.6, single_frac: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """The boxes of each photo with their final confidence, and (photo, best, note, needs_review) of each photo.
+
+    ``split`` (photo) names photos whose boxes are guesses cut from one blob: none of those is trusted. A lone box that fills the frame is; a photo without
+    boxes gets the whole frame as one. A photo where no box is sure needs review too.
+    """
+    found = boxes.join(boxes.groupBy("photo").agg(F.count(F.lit(1)).alias("__n")), "photo").join(
+        split.select("photo").distinct().withColumn("__split", F.lit(True)), "photo", "left").withColumn("__split", F.coalesce("__split", F.lit(False)))
+    lone = ~F.col("__split") & (F.col("__n") == 1) & (F.col("area_frac") >= single_frac)
+    confidence = F.when(F.col("__split"), split_confidence(F.col("confidence"))).otherwise(
+        whole_frame_confidence(F.col("confidence"), F.col("__n"), F.col("area_frac"), single_frac))
+    found = found.withColumns({"__lone": lone, "confidence": confidence, "method": F.when(lone, "whole_frame").otherwise(F.col("method"))})
+    every = at_least_one(photos, found)
+    per_photo = every.groupBy("photo").agg(F.max("confidence").alias("best"), F.max("__n").alias("n"), F.bool_or("__split").alias("split"),
+                                           F.bool_or("__lone").alias("lone"), F.bool_or("flagged").alias("none"))
+    unsure = F.col("best") < sure
+    note = (F.when(F.col("split"), F.format_string(NOTES["split"], "n")).when(F.col("none"), NOTES["none"])
+            .when(F.col("lone"), NOTES["single"]).when(unsure, NOTES["photo"]))
+    review = F.coalesce("split", F.lit(False)) | F.col("none") | unsure
+    return every.drop("__n", "__split", "__lone", "flagged"), per_photo.select("photo", "best", note.alias("note"), review.alias("needs_review"))
 
 
 def detection_summary(items: DataFrame) -> DataFrame:

@@ -82,8 +82,3 @@ def item_names(links: DataFrame, names: DataFrame) -> DataFrame:
         links.join(names, ["kind", "slug"]).groupBy("item_id")
         .agg(F.array_sort(F.collect_list(pair)).alias("entities"))
     )
-
-
-def latest_links(changes: DataFrame) -> DataFrame:
-    """Keyed upsert of entity links: the last write of a key stands."""
-    return first_by(changes, LINK, [F.col("at").desc()])

@@ -196,10 +196,30 @@ def whole_frame_fallback(v: Views) -> DataFrame:
     return B.at_least_one(photos, v.boxes).select("photo", "seq", *B.COORDS, "method", "confidence", "flagged")
 
 
-@query("photo_notes", f"""WITH {BOXES} SELECT photo, max(confidence) AS best, CASE WHEN max(confidence) < 0.6 THEN 'low-confidence detection' END AS note
- FROM boxes GROUP BY ALL""")
+SETTLED = BOXES + """,
+n AS (SELECT photo, seq, area_frac, method, confidence, count(*) OVER (PARTITION BY photo) AS n, photo % 9 = 0 AS split FROM boxes),
+c AS (SELECT *, CASE WHEN split THEN least(confidence, 0.45) WHEN n = 1 AND area_frac >= 0.3 THEN greatest(confidence, 0.75) ELSE confidence END AS final,
+ NOT split AND n = 1 AND area_frac >= 0.3 AS lone FROM n),
+every AS (SELECT photo, seq, n, split, lone, FALSE AS bare, final, CASE WHEN lone THEN 'whole_frame' ELSE method END AS how FROM c
+ UNION ALL SELECT o_orderkey, 0, NULL, FALSE, FALSE, TRUE, 0.5, 'whole_frame' FROM orders WHERE o_orderkey NOT IN (SELECT photo FROM boxes))"""
+
+
+def settled_boxes(v: Views) -> tuple[DataFrame, DataFrame]:
+    photos = v.photos.select(F.col("o_orderkey").alias("photo"), "width", "height")
+    return B.settled(photos, v.boxes, v.boxes.where("photo % 9 = 0"), single_frac=0.3)
+
+
+@query("photo_notes", f"""WITH {SETTLED}, p AS (SELECT photo, max(final) AS best, max(n) AS n, bool_or(split) AS split, bool_or(lone) AS lone, bool_or(bare) AS bare FROM every GROUP BY ALL)
+ SELECT photo, best, CASE WHEN split THEN 'items were touching, so ' || n || ' rough crops were split out - check and adjust each one'
+  WHEN bare THEN 'no items detected; using whole frame' WHEN lone THEN 'single item filling the frame' WHEN best < 0.6 THEN 'low-confidence detection' END AS note,
+ split OR bare OR best < 0.6 AS needs_review FROM p""")
 def photo_notes(v: Views) -> DataFrame:
-    return B.photo_notes(v.boxes)
+    return settled_boxes(v)[1]
+
+
+@query("settled_boxes", f"WITH {SETTLED} SELECT photo, seq, how AS method, final AS confidence FROM every")
+def settled_confidence(v: Views) -> DataFrame:
+    return settled_boxes(v)[0].select("photo", "seq", "method", "confidence")
 
 
 @query("detection_summary", f"""WITH {ITEMS} SELECT count(*) AS items, count(*) FILTER (needs_human_review) AS flagged,

@@ -10,8 +10,9 @@ from keepsake.functions.search import snippet
 from keepsake.operators import catalogue as C
 from keepsake.operators import entities as E
 from keepsake.operators import links as K
+from keepsake.operators import versions as V
 from keepsake.operators.scale import numbered, resolve_roots
-from keepsake.plans.bindings import DERIVATIVES, FOLDED, MENTIONS, RECORDS, TURNS, Views, by_digits, padded, title_of
+from keepsake.plans.bindings import DERIVATIVES, FOLDED, MENTIONS, RECORDS, TURNS, VERSIONS, Views, by_digits, padded, title_of
 from keepsake.plans.entity_queries import LINKS, item_links
 from keepsake.plans.registry import query
 from keepsake.session import cut
@@ -53,6 +54,34 @@ def catalogue(v: Views) -> DataFrame:
         F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
 
 
+PUBLISHED = VERSIONS + """,
+live AS (SELECT v.item_id, v.title AS reading, v.model FROM versions v WHERE NOT superseded AND id = (SELECT max(id) FROM versions w
+ WHERE w.item_id = v.item_id AND NOT w.superseded)),""" + FOLDED.replace("FROM pointed WHERE ", "FROM pointed WHERE id IN (SELECT item_id FROM live) AND ")
+
+
+@query("published_catalogue", f"""WITH {PUBLISHED}, {LINKS}, {MENTIONS},
+ n AS (SELECT item_id, count(*) AS n_entities FROM links GROUP BY ALL),
+ b AS (SELECT id, CAST(sum(pages_in_part) AS BIGINT) AS n_pages FROM fparts GROUP BY ALL),
+ r AS (SELECT s.item_id, count(*) AS n_related FROM sym s JOIN entries e ON e.id = s.item_id JOIN entries t ON t.id = s.related_item_id GROUP BY ALL)
+ SELECT e.id, reading, model, type, CASE WHEN e.decade = '' THEN 'Undated' ELSE e.decade END AS decade, n_pages, COALESCE(n_related, 0) AS n_related,
+ COALESCE(n_entities, 0) AS n_entities, count(*) OVER (PARTITION BY e.decade) AS in_decade
+ FROM entries e JOIN live l ON l.item_id = e.id JOIN b ON b.id = e.id LEFT JOIN r ON r.item_id = e.id LEFT JOIN n ON n.item_id = e.id""")
+def published_catalogue(v: Views) -> DataFrame:
+    """The whole build: current versions, what may be shown, folding, links with both ends, entities and decades, one row per entry."""
+    live = cut(V.current(v.versions).select("item_id", F.col("title").alias("reading"), "model"))
+    shown = C.publishable(v.pointed, live)
+    f = C.fold(shown, date_buckets(), chains=False)
+    entries = cut(f.entries.drop("text"))
+    links = C.related(entries, K.symmetric(item_links(v))).groupBy(F.col("item_id").alias("id")).agg(F.count(F.lit(1)).alias("n_related"))
+    names = entry_links(v).groupBy(F.col("item_id").alias("id")).agg(F.count(F.lit(1)).alias("n_entities"))
+    decades = C.timeline(entries).where("year is null").select("decade", F.col("n").alias("in_decade"))
+    pages = f.parts.groupBy("id").agg(F.sum("pages_in_part").alias("n_pages"))
+    decade = F.coalesce(F.nullif("decade", F.lit("")), F.lit("Undated"))
+    return (entries.withColumn("decade", decade).join(decades, "decade").join(pages, "id").join(links, "id", "left").join(names, "id", "left")
+            .select("id", "reading", "model", "type", "decade", "n_pages", F.coalesce("n_related", F.lit(0)).alias("n_related"),
+                    F.coalesce("n_entities", F.lit(0)).alias("n_entities"), "in_decade"))
+
+
 @query("publishable_items", f"WITH {RECORDS} SELECT id, title, status FROM records WHERE status NOT IN ('rejected', 'detected', 'rectified')")
 def publishable_items(v: Views) -> DataFrame:
     live = v.records.where("status != 'detected'").select(F.col("id").alias("item_id"), "title")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Every tuple and limit below must equal the published contract.
 ITEM_TYPES = ("newspaper_clipping", "photograph", "document", "letter", "certificate",
               "program", "newsletter", "ephemera", "object", "other")
@@ -59,6 +57,9 @@ NOTES = {
     "related_to": "is linked to another item",
     "confidence": "detection confidence %.2f below %.2f",
     "photo": "low-confidence detection",
+    "split": "items were touching, so %d rough crops were split out - check and adjust each one",
+    "none": "no items detected; using whole frame",
+    "single": "single item filling the frame",
 }
 
 # The wording of hints given with an item.
@@ -68,33 +69,3 @@ HINTS = {
                 "is from - do not use it as the item's date.)",
     "neighbours": "(It was photographed alongside %s other item%s, so related material may exist.)",
 }
-
-POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-QUAD = T.ArrayType(POINT)
-
-ITEMS = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("photo_sha256", T.StringType(), False),
-    T.StructField("seq", T.LongType(), False),
-    T.StructField("quad", QUAD),
-    T.StructField("quad_detected", QUAD),
-    T.StructField("detection_confidence", T.DoubleType()),
-    T.StructField("detection_method", T.StringType()),
-    T.StructField("master_path", T.StringType()),
-    T.StructField("rotation_applied", T.LongType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("needs_human_review", T.BooleanType()),
-    T.StructField("review_reason", T.StringType()),
-    T.StructField("part_of_item_id", T.StringType()),
-    T.StructField("part_reason", T.StringType()),
-    T.StructField("duplicate_of_item_id", T.StringType()),
-    T.StructField("headline", T.StringType()),
-])
-
-LINKS = T.StructType([
-    T.StructField("item_id", T.StringType(), False),
-    T.StructField("related_item_id", T.StringType(), False),
-    T.StructField("reason", T.StringType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("at", T.LongType()),
-])
