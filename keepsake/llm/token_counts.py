@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import pick
 
 LEAF = 64
+#: How many times its usual size a leaf may reach.
+WIDEST = 4
 AHEAD = 4
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that the vocabulary was made with (a fixed value).
@@ -103,6 +105,8 @@ class Tree:
             for n in range(lo, hi + 1):
                 self.sums[n] = self.sums[2 * n] + self.sums[2 * n + 1]
             lo, hi = lo // 2, hi // 2
+        if len(new[0]) > WIDEST * LEAF:  # a long insertion: deal all out again, so that leaves stay small and the tree as high as it should be
+            self.__init__(*(np.concatenate(c) for c in zip(*self.leaves)))
 
 
 def built(text: str, counter: Counter) -> Tree:
@@ -188,7 +192,8 @@ def counted(docs: DataFrame, edits: Callable[[str], list[Edit]] = repeated_lines
             vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens, n_edits, n_tokens_after, n_encoded_again, text_after) of every row.
 
-    Null texts count as empty and have no tokens; repeated rows are counted each. ``vocabulary`` must be at the same path on all executors.
+    Null texts count as empty and have no tokens; repeated rows are counted each; an empty table gives no rows; a text is held whole, with its tree; other columns
+    don't matter, whatever their names. ``vocabulary`` must be at the same path on all executors.
     """
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded_again")] + [("text_after", pa.string())])
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_corpus_operators import removed, text
 
-from keepsake.llm import html_text, substrings, toxicity
+from keepsake.llm import html_text, substrings, token_counts, toxicity
 
 
 def test_rows_with_one_id_lose_only_what_their_own_windows_cover(spark):
@@ -92,3 +92,23 @@ def test_very_long_texts_are_scored_whole(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int").withColumn("row", F.lit(1))
     got = {r.doc_id: r.predicted for r in toxicity.judged(docs, labels).collect()}
     assert got[999] == 0 and [got[i] for i in range(200)] == [int(i % 4 == 0) for i in range(200)]
+
+
+def test_long_insertions_keep_leaves_small():
+    counter = token_counts.Counter()
+    text_ = " ".join(f"word{i}" for i in range(500))
+    tree = token_counts.built(text_, counter)
+    new = " ".join(f"new{i} thing" for i in range(3000))
+    after, again = token_counts.edited(text_, [(100, 100, new), (900, 950, "")], tree, counter)
+    assert after == text_[:100] + new + text_[100:900] + text_[950:]
+    assert max(len(chars) for chars, _ in tree.leaves) <= token_counts.WIDEST * token_counts.LEAF
+    fresh = token_counts.built(after, counter)
+    assert tree.tokens == fresh.tokens and tree.sums[1].tolist() == fresh.sums[1].tolist() and again < 10_000
+
+
+def test_token_counts_of_an_empty_table_and_a_very_long_text(spark):
+    rows = [(1, "a line\n" * 30_000), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
+    got = {r.doc_id: (r.n_tokens, r.text_after) for r in token_counts.counted(docs).collect()}
+    assert got[2] == (0, "") and got[1][1] == "a line\n" and got[1][0] > 30_000
+    assert token_counts.counted(docs.where("false")).count() == 0
