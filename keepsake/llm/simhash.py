@@ -12,7 +12,6 @@ compared by the words between instead of pair by pair: fingerprints that share s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
